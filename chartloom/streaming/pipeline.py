@@ -1,0 +1,163 @@
+"""Streaming message pipeline: raw, bronze, silver and segment tables as append-only hops.
+
+Every hop is one stateless query with its own checkpoint. It processes what has arrived since its
+last run and stops, so the same calls serve a schedule or a backfill.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from chartloom.operators.changes import INSERT, collapse_keys, latest_by_key, rows_to_embed
+from chartloom.operators.chunks import CHUNK_KEY, CHUNK_TEXT
+from chartloom.operators.grouping import assemble_messages
+from chartloom.operators.messages import (
+    explode_segments, flatten_messages, parse_messages, segment_table, typed_segments,
+)
+from chartloom.schemas import SEGMENT_FIELD_NUMBERS
+from chartloom.sinks.tables import read_batch_folders, start_append, write_batch_folder
+from chartloom.sources.files import message_files
+from chartloom.sources.tables import stream_folder
+
+
+class MessageStreams:
+    """The tables of the message pipeline under one folder."""
+
+    def __init__(self, spark: SparkSession, root: str, per_trigger: int | None = None):
+        self.spark, self.root, self.per_trigger = spark, root, per_trigger
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def run(self, name: str, stream: DataFrame) -> None:
+        start_append(stream, self.path(name), self.path(f"_checkpoints/{name}")).awaitTermination()
+
+    def stream(self, name: str) -> DataFrame:
+        """A written table as a stream; its schema comes from the stored files."""
+        schema = self.read(name).schema
+        return stream_folder(self.spark, self.path(name), schema, self.per_trigger)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+    def ingest(self, landing: str, name_glob: str | None = None) -> None:
+        files = message_files(self.spark, landing, True, name_glob, self.per_trigger)
+        self.run("raw_data", files)
+
+    def bronze(self) -> None:
+        self.run("bronze", parse_messages(self.stream("raw_data")))
+
+    def silver(self) -> None:
+        self.run("silver", flatten_messages(self.stream("bronze")))
+
+    def gold_all(self) -> None:
+        self.run("gold_all", explode_segments(self.stream("silver")))
+
+    def gold(self, segment: str) -> None:
+        self.run(f"gold_{segment.lower()}", segment_table(self.stream("silver"), segment))
+
+    def run_all(self, segments: Iterable[str] = tuple(SEGMENT_FIELD_NUMBERS)) -> None:
+        self.bronze()
+        self.silver()
+        self.gold_all()
+        for segment in segments:
+            self.gold(segment)
+
+    def fan_out(self) -> None:
+        """All segment tables from one read of silver: segments laid out by kind, so that reading
+        one typed table touches only its own folder."""
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            explode_segments(batch).write.mode("overwrite").partitionBy("segment_id").parquet(
+                f"{self.path('segments')}/batch_id={batch_id}"
+            )
+
+        run_batches(self.stream("silver"), write, self.path("_checkpoints/segments"))
+
+    def fanned_segments(self) -> DataFrame:
+        return self.spark.read.parquet(self.path("segments"))
+
+    def fanned(self, segment: str) -> DataFrame:
+        return typed_segments(self.fanned_segments(), segment)
+
+
+def run_batches(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> None:
+    query = (
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def assemble_stream(lines: DataFrame, path: str, checkpoint: str, separator: str = "\r") -> None:
+    """Grow message texts from a stream of ``(file_path, line_no, value)`` lines.
+
+    A file's lines may come in several batches, so the lines of all files stay in the state: use
+    whole-file reading where it is possible. Every batch writes the texts it changed, and
+    ``assembled`` reads the latest one of each file.
+    """
+    entries = F.collect_list(F.struct("line_no", "value")).alias("entries")
+    grouped = lines.groupBy("file_path").agg(entries)
+    text = F.array_join(F.transform(F.array_sort("entries"), lambda e: e["value"]), separator)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch_folder(batch.select("file_path", text.alias("value")), path, batch_id)
+
+    run_batches(grouped, write, checkpoint, "update")
+
+
+def assemble_whole_files(lines: DataFrame, path: str, checkpoint: str) -> None:
+    """The same without state, for sources that deliver all lines of a file in one batch, as file
+    sources do."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch_folder(assemble_messages(batch), path, batch_id)
+
+    run_batches(lines, write, checkpoint)
+
+
+def assembled(spark: SparkSession, path: str) -> DataFrame:
+    return latest_by_key(read_batch_folders(spark, path), "file_path")
+
+
+INDEX_LOG_SCHEMA = "change_type string, chunk_id string, content_chunked string, embedding array<float>, batch_id int"
+
+
+def sync_index_stream(
+    chunks: DataFrame, path: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Keep an index in step with a stream of chunks: embed keys it lacks, once each.
+
+    Every batch adds one folder to the index log, holding new keys only; a retried batch leaves its
+    own folder out of what it compares with and replaces it.
+    """
+    spark = chunks.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        log = spark.read.schema(INDEX_LOG_SCHEMA).option("basePath", path)
+        write_empty = batch_id == 0
+        source = collapse_keys(batch, CHUNK_KEY).select(CHUNK_KEY, CHUNK_TEXT)
+        if not write_empty:
+            earlier = log.parquet(path).filter(F.col("batch_id") < batch_id)
+            source = rows_to_embed(source, earlier)
+        fresh = embed(source).select(
+            F.lit(INSERT).alias("change_type"), CHUNK_KEY, CHUNK_TEXT, "embedding"
+        )
+        write_batch_folder(fresh, path, batch_id)
+
+    run_batches(chunks, write, checkpoint)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return latest_by_key(
+        spark.read.schema(StructType.fromDDL(INDEX_LOG_SCHEMA)).option("basePath", path).parquet(path),
+        CHUNK_KEY,
+    )

@@ -148,7 +148,7 @@ _LINES = """
   UNION ALL SELECT file_path, o_orderkey, 4, 0, 'PV1|1|' || o_orderstatus || '|' || o_orderpriority
     FROM every_order WHERE o_orderkey % 71 <> 0
   UNION ALL SELECT file_path, o_orderkey, 4, 0,
-         'PV1|' || array_to_string(list_transform(range(1, 55), i -> 'v' || i), '|')
+         'PV1|' || array_to_string(list_transform(range(1, 55), lambda i: 'v' || i), '|')
     FROM every_order WHERE o_orderkey % 71 = 0
   UNION ALL SELECT file_path, o_orderkey, 5, 0, 'OBR|1|' || okey || '||' || p_type
     FROM every_order JOIN items ON l_orderkey = o_orderkey WHERE n = 1

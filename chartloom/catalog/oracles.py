@@ -159,7 +159,14 @@ def all_oracles() -> dict[str, str]:
         "stream_gold_al1": m.segment_sql("AL1"),
         "stream_multi_hop": m.all_segments_sql(),
         "stream_fanout": m.segment_counts_sql(),
-        "stream_message_files": m.segment_sql("PID"),
+        "stream_message_files": """
+            SELECT 'ADT^A04' AS message_type, '20240101' AS message_datetime,
+                   s_suppkey::VARCHAR AS patient_id, '1' AS PID_1, s_suppkey::VARCHAR AS PID_3,
+                   s_name AS PID_5 FROM supplier""",
+        "stream_line_files": """
+            SELECT 'MSH|^~\\&|SRC|FAC|DST|DFAC|20240101||ADT^A04|' || s_suppkey || chr(13)
+                   || 'PID|1||' || s_suppkey || '||' || s_name || chr(13)
+                   || 'PV1|1|N|' || s_nationkey AS value FROM supplier""",
         "stream_assemble_upsert": m.ASSEMBLE_SQL,
         "stream_index_sync": _SNAPSHOTS + f"""
             SELECT chunk_id, length(content_chunked) AS n_chars, {DIMENSIONS} AS dimensions

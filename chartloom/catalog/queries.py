@@ -18,7 +18,7 @@ from chartloom.operators import quality, similarity
 from chartloom.schemas import MESSAGE_KEYS, SEGMENT_FIELD_NUMBERS
 from chartloom.session import read_table, scratch_folder
 from chartloom.sinks.tables import overwrite_folder
-from chartloom.sources.files import file_listing
+from chartloom.sources.files import file_listing, line_files
 from chartloom.sources.tables import stream_folder
 from chartloom.streaming import pipeline
 
@@ -186,18 +186,29 @@ def stream_fanout(spark, sf_dir):
     return _segment_counts(streams.fanned_segments())
 
 
+def _supplier_landing(spark: SparkSession, sf_dir: str, root: str) -> str:
+    landing = f"{root}/landing"
+    samples.supplier_messages(spark, sf_dir).write.partitionBy("name").text(landing)
+    return landing
+
+
 @_query
 def stream_message_files(spark, sf_dir):
-    """One text file per message, picked up by the file source as whole files."""
-    streams = pipeline.MessageStreams(spark, scratch_folder(spark, "files"), per_trigger=100_000)
-    landing = streams.path("landing")
-    texts = samples.message_texts(spark, sf_dir).filter(F.col("value").isNotNull())
-    texts.withColumn("name", F.element_at(F.split("file_path", "/"), -1)).select(
-        "name", "value"
-    ).write.partitionBy("name").option("lineSep", "\r").text(landing)
-    streams.ingest(landing, name_glob="part-*.txt")
+    """One text file per supplier message, picked up by the file source as whole files."""
+    streams = pipeline.MessageStreams(spark, scratch_folder(spark, "files"), per_trigger=10_000)
+    streams.ingest(_supplier_landing(spark, sf_dir, streams.root), name_glob="part-*.txt")
     streams.run("gold_pid", msg.segment_table_from_text(streams.stream("raw_data"), "PID"))
-    return streams.read("gold_pid")
+    return streams.read("gold_pid").select(*MESSAGE_KEYS, "PID_1", "PID_3", "PID_5")
+
+
+@_query
+def stream_line_files(spark, sf_dir):
+    """The same files read line by line and put together again within each micro-batch."""
+    root = scratch_folder(spark, "lines")
+    landing = _supplier_landing(spark, sf_dir, root)
+    lines = line_files(spark, landing, streaming=True, name_glob="part-*.txt", per_trigger=10_000)
+    pipeline.assemble_whole_files(lines, f"{root}/texts", f"{root}/checkpoint")
+    return pipeline.assembled(spark, f"{root}/texts").select("value")
 
 
 def _line_stream(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:

@@ -35,7 +35,7 @@ def last_messages(turns: DataFrame) -> DataFrame:
 
 def transcripts(turns: DataFrame) -> DataFrame:
     line = labeled_line(F.col("role"), F.col("text"))
-    return assemble_text(turns, ["conv_id"], "turn", line, "\n", "transcript")
+    return assemble_text(turns, ["conv_id"], ["turn"], line, "\n", "transcript")
 
 
 def message_counts(turns: DataFrame) -> DataFrame:

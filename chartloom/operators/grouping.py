@@ -12,24 +12,27 @@ def _joined(entries: Column, separator: str) -> Column:
 
 
 def assemble_text(
-    df: DataFrame, keys: list[str], order: str, text: Column, separator: str,
+    df: DataFrame, keys: list[str], order: list[str], text: Column, separator: str,
     name: str, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Join the texts of each group in ``order``, whose numbers start near 0.
+    """Join the texts of each group in ``order``, whose last column holds running numbers.
 
     Runs of ``block_rows`` consecutive numbers are joined first, each as a group of its own, so a
     huge group is spread over the cluster; then the few block texts of a group are joined.
     """
-    entry = F.struct(F.col(order).alias("place"), F.coalesce(text, F.lit("")).alias("text"))
+    coarse, number = order[:-1], order[-1]
+    entry = F.struct(F.col(number).alias("place"), F.coalesce(text, F.lit("")).alias("text"))
     blocks = (
-        df.withColumn("__block", F.floor(F.col(order) / block_rows))
-        .groupBy(*keys, "__block")
+        df.withColumn("__block", F.floor(F.col(number) / block_rows))
+        .groupBy(*keys, *coarse, "__block")
         .agg(_joined(F.collect_list(entry), separator).alias("text"))
     )
-    block = F.struct(F.col("__block").alias("place"), "text")
+    block = F.struct(*coarse, "__block", "text")
     return blocks.groupBy(*keys).agg(_joined(F.collect_list(block), separator).alias(name))
 
 
-def assemble_messages(lines: DataFrame, separator: str = "\r") -> DataFrame:
-    """``(file_path, line_no, value)`` rows to one message text per file."""
-    return assemble_text(lines, ["file_path"], "line_no", F.col("value"), separator, "value")
+def assemble_messages(
+    lines: DataFrame, order: tuple[str, ...] = ("line_no",), separator: str = "\r"
+) -> DataFrame:
+    """``(file_path, ..., value)`` rows to one message text per file, in the order of ``order``."""
+    return assemble_text(lines, ["file_path"], list(order), F.col("value"), separator, "value")

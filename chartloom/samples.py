@@ -124,6 +124,19 @@ def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def supplier_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(name, value)``: one short message per supplier, for tests with one file per message."""
+    key = F.col("s_suppkey").cast("string")
+    lines = F.array(
+        _line("MSH", "^~\\&", "SRC", "FAC", "DST", "DFAC", "20240101", "", "ADT^A04", key),
+        _line("PID", "1", "", key, "", F.col("s_name")),
+        _line("PV1", "1", "N", F.col("s_nationkey").cast("string")),
+    )
+    return read_table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("part-00"), key).alias("name"), F.array_join(lines, "\n").alias("value")
+    )
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, modificationTime, length, content)``, one row per document, as a file scan gives."""
     doc = F.col("doc_id")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+LINE_ORDER = ("block_start", "line_id")
+
+
 def _text_reader(spark: SparkSession, streaming: bool, name_glob: str | None, per_trigger: int | None):
     reader = spark.readStream if streaming else spark.read
     reader = reader.option("recursiveFileLookup", "true")
@@ -30,9 +33,18 @@ def line_files(
     spark: SparkSession, path: str, streaming: bool = False,
     name_glob: str | None = None, per_trigger: int | None = None,
 ) -> DataFrame:
-    """``(file_path, value)``, one row per line."""
+    """``(file_path, block_start, line_id, value)``, one row per line.
+
+    ``LINE_ORDER`` restores the order of a file's lines: the start of the split they were read in,
+    then a number that grows while the split is read.
+    """
     reader = _text_reader(spark, streaming, name_glob, per_trigger)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    return reader.text(path).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_id"),
+        "value",
+    )
 
 
 def without_names(df: DataFrame, part: str, path: str = "file_path") -> DataFrame:

@@ -19,7 +19,7 @@ from chartloom.operators.messages import (
 )
 from chartloom.schemas import SEGMENT_FIELD_NUMBERS
 from chartloom.sinks.tables import read_batch_folders, start_append, write_batch_folder
-from chartloom.sources.files import message_files
+from chartloom.sources.files import LINE_ORDER, message_files
 from chartloom.sources.tables import stream_folder
 
 
@@ -119,7 +119,7 @@ def assemble_whole_files(lines: DataFrame, path: str, checkpoint: str) -> None:
     sources do."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch_folder(assemble_messages(batch), path, batch_id)
+        write_batch_folder(assemble_messages(batch, LINE_ORDER), path, batch_id)
 
     run_batches(lines, write, checkpoint)
 

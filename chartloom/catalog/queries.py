@@ -51,6 +51,11 @@ def _allergies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return msg.segment_table_from_text(samples.message_texts(spark, sf_dir), "AL1")
 
 
+def _allergy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored allergy table, which lookups read with pushed-down filters."""
+    return overwrite_folder(_allergies(spark, sf_dir), scratch_folder(spark, "gold-al1"))
+
+
 # Messages
 
 
@@ -108,7 +113,7 @@ def message_errors(spark, sf_dir):
 
 @_query
 def message_error_report(spark, sf_dir):
-    return msg.error_report(_flat(spark, sf_dir))
+    return msg.error_report(msg.text_faults(samples.message_texts(spark, sf_dir)))
 
 
 @_query
@@ -123,7 +128,7 @@ def repeated_field_last_wins(spark, sf_dir):
 
 @_query
 def patient_allergies(spark, sf_dir):
-    return coding.allergies_of(_allergies(spark, sf_dir), PATIENT)
+    return coding.allergies_of(_allergy_table(spark, sf_dir), PATIENT)
 
 
 @_query
@@ -276,7 +281,7 @@ def doc_dispatch(spark, sf_dir):
 
 @_query
 def html_markdown(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select(
+    return documents.spread(read_table(spark, sf_dir, "pages")).select(
         "page_id", html_to_markdown(F.col("html")).alias("markdown")
     )
 
@@ -303,7 +308,8 @@ def table_file_listing(spark, sf_dir):
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return documents.spread(docs)
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,7 +433,7 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(
         " ", F.concat(F.lit("P"), F.col("p_partkey").cast("string")), "p_brand", "p_type", "p_name"
     )
-    parts = read_table(spark, sf_dir, "part").select(text.alias("content_chunked"))
+    parts = documents.spread(read_table(spark, sf_dir, "part")).select(text.alias("content_chunked"))
     keyed = parts.select(F.md5("content_chunked").alias("chunk_id"), "content_chunked")
     return with_embedding(changes.collapse_keys(keyed), token_hash=md5_number)
 
@@ -435,7 +441,7 @@ def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def code_allergies(spark, sf_dir):
     return coding.code_allergies(
-        _allergies(spark, sf_dir),
+        _allergy_table(spark, sf_dir),
         _definitions(spark, sf_dir),
         lambda df, column: with_embedding(df, column, token_hash=md5_number),
         CODES_PER_ALLERGY,

@@ -50,6 +50,15 @@ REMOVED = [
 LINK = r'(?is)<a\s[^>]*?href\s*=\s*["\']([^"\'>]*)["\'][^>]*>(.*?)</a\s*>'
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it uses several times, without repeating the value's expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _where_present(text: Column, mark: str, change: Callable[[Column], Column]) -> Column:
+    return _bind(text, lambda t: F.when(F.instr(t, mark) > 0, change(t)).otherwise(t))
+
+
 def _inside(text: Column, opening: str, closing: str, change: Callable[[Column], Column]) -> Column:
     """Apply ``change`` to what follows each ``opening``, up to its ``closing``."""
 
@@ -70,21 +79,21 @@ def _number_items(body: Column) -> Column:
     return F.array_join(F.transform(F.split(body, "<li\\b"), item), "")
 
 
+def _looked_up(signs: dict[str, str], name: Column) -> Column:
+    pairs = [F.lit(x) for pair in signs.items() for x in pair]
+    return F.coalesce(F.create_map(*pairs)[name], F.lit(""))
+
+
 def _tag_sign(tag: Column, name: Column) -> Column:
-    closing = tag.startswith("/")
-    sign = F.when(
-        closing & (name == "a"),
-        F.concat(F.lit("]("), F.regexp_extract(tag, r'(?s)^/a "(.*)"$', 1), F.lit(")")),
-    )
-    for known, text in CLOSING.items():
-        sign = sign.when(closing & (name == known), text)
-    sign = sign.when(closing, "")
-    sign = sign.when(
-        name.startswith("li#"), F.concat(F.lit("\n"), F.substring(name, 4, 9), F.lit(". "))
+    link = F.concat(F.lit("]("), F.regexp_extract(tag, r'(?s)^/a "(.*)"$', 1), F.lit(")"))
+    item = F.concat(F.lit("\n"), F.substring(name, 4, 9), F.lit(". "))
+    return (
+        F.when(
+            tag.startswith("/"), F.when(name == "a", link).otherwise(_looked_up(CLOSING, name))
+        )
+        .when(name.startswith("li#"), item)
+        .otherwise(_looked_up(OPENING, name))
     )
-    for known, text in OPENING.items():
-        sign = sign.when(name == known, text)
-    return sign.otherwise("")
 
 
 def _markdown_piece(piece: Column, index: Column) -> Column:
@@ -114,22 +123,20 @@ def _numeric_references(text: Column) -> Column:
             .otherwise(F.concat(F.lit("&#"), part))
         )
 
-    return F.when(
-        F.instr(text, "&#") > 0, F.array_join(F.transform(F.split(text, "&#"), piece), "")
-    ).otherwise(text)
+    return _where_present(
+        text, "&#", lambda t: F.array_join(F.transform(F.split(t, "&#"), piece), "")
+    )
 
 
 def html_to_markdown(html: Column) -> Column:
     text = html
     for pattern in REMOVED:
         text = F.regexp_replace(text, pattern, "")
-    text = F.when(
-        F.instr(text, "<pre") > 0,
-        _inside(text, "<pre", "</pre", lambda body: F.translate(body, "\n *_", KEPT)),
-    ).otherwise(text)
-    text = F.when(
-        F.instr(text, "<ol") > 0, _inside(text, "<ol", "</ol", _number_items)
-    ).otherwise(text)
+    text = _where_present(
+        text, "<pre",
+        lambda t: _inside(t, "<pre", "</pre", lambda body: F.translate(body, "\n *_", KEPT)),
+    )
+    text = _where_present(text, "<ol", lambda t: _inside(t, "<ol", "</ol", _number_items))
     text = F.regexp_replace(text, LINK, '<a>$2</a "$1">')
     text = F.array_join(F.transform(F.split(text, "<"), _markdown_piece), "")
     text = _numeric_references(text)

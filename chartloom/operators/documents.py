@@ -21,10 +21,18 @@ JSON_EXTENSIONS = [".json", ".jsonl"]
 Parser = Callable[..., Mapping]
 
 
-def spread_files(files: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Spread rows before heavy work on each. The default moves nothing: the reader's own splits
-    decide. Give a count only where few splits hold costly files, as it shuffles their bytes."""
-    return files.repartition(partitions) if partitions else files
+def spread(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread the rows of a scan before costly work on each of them.
+
+    A scan with fewer splits than the cluster has cores is repartitioned. A larger one stays as the
+    reader cut it, since spreading it would only shuffle its bytes. A count given is used as it is.
+    """
+    if partitions:
+        return rows.repartition(partitions)
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def parse_files(files: DataFrame, hooks: Mapping[str, Callable[[bytes], str]] | None = None) -> DataFrame:

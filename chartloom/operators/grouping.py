@@ -8,7 +8,7 @@ BLOCK_ROWS = 4096
 
 
 def _joined(entries: Column, separator: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(entries), lambda e: e["text"]), separator)
+    return F.array_join(F.transform(F.sort_array(entries), lambda e: e["text"]), separator)
 
 
 def assemble_text(

@@ -25,7 +25,6 @@ BLANKS = " \t\r\n"
 DEFAULT_REPETITION = "~"
 
 _TEXT, _FAULT, _SEP, _REP, _LINES = "__text", "__fault", "__sep", "__rep", "__lines"
-_HELPERS = [_TEXT, _FAULT, _SEP, _REP, _LINES]
 
 
 def _split_fields(line: Column, separator: Column) -> Column:
@@ -50,16 +49,17 @@ def split_messages(messages: DataFrame, text: str = "value") -> DataFrame:
             (sixth == F.substring(body, 4, 1)) | sixth.isin("", "\r", "\n"), DEFAULT_REPETITION
         ).otherwise(sixth).alias(_REP),
     )
-    lines = F.filter(
-        F.split(F.translate(body, "\n", "\r"), "\r"), lambda line: F.trim(line) != ""
-    )
-    return marked.withColumn(
-        _LINES,
-        F.when(
-            F.col(_FAULT).isNull(),
-            F.transform(lines, lambda line: _split_fields(line, F.col(_SEP))),
-        ),
-    )
+
+    def lines(whole: Column) -> Column:
+        found = F.filter(
+            F.split(F.translate(whole, "\n", "\r"), "\r"), lambda line: F.trim(line) != ""
+        )
+        return F.transform(found, lambda line: _split_fields(line, F.substring(whole, 4, 1)))
+
+    # The text is bound once, as the element of an array. A later filter that Catalyst pushes down
+    # to here takes this expression along, and must not repeat the text's own for every line.
+    bound = F.get(F.transform(F.array(body), lines), F.lit(0))
+    return marked.withColumn(_LINES, F.when(F.col(_FAULT).isNull(), bound))
 
 
 def _last_line(name: str) -> Column:
@@ -246,10 +246,19 @@ def message_errors(flat: DataFrame, provenance: Iterable[str] = ()) -> DataFrame
     )
 
 
+def text_faults(
+    messages: DataFrame, text: str = "value", provenance: Iterable[str] = ()
+) -> DataFrame:
+    """The same rows straight from message text; looks at the start of each text only."""
+    return split_messages(messages, text).filter(F.col(_FAULT).isNotNull()).select(
+        *provenance, F.col(_FAULT).alias("error_text")
+    )
+
+
 def readable_messages(flat: DataFrame) -> DataFrame:
     """The counterpart of ``message_errors``; a message without a type is readable."""
     return flat.filter(~F.col("message_type").eqNullSafe(ERROR))
 
 
-def error_report(flat: DataFrame) -> DataFrame:
-    return message_errors(flat).groupBy("error_text").agg(F.count("*").alias("messages"))
+def error_report(errors: DataFrame) -> DataFrame:
+    return errors.groupBy("error_text").agg(F.count("*").alias("messages"))

@@ -10,7 +10,7 @@ from chartloom.functions.chunking import DEFAULT_OVERLAP, DEFAULT_SIZE, recursiv
 from chartloom.functions.embedding import with_embedding
 from chartloom.operators.changes import collapse_keys, sync_index
 from chartloom.operators.chunks import CHUNK_TEXT, apply_chunker
-from chartloom.operators.documents import parse_files, spread_files
+from chartloom.operators.documents import parse_files, spread
 from chartloom.operators.quality import quality_gate
 from chartloom.sinks.tables import overwrite_folder
 from chartloom.sources.files import binary_files
@@ -28,7 +28,7 @@ def build_document_tables(
     max_empty_percent: float = 0.0,
 ) -> tuple[DataFrame, DataFrame]:
     """Parsed documents and chunks, each stored before the next stage reads it."""
-    files = spread_files(binary_files(spark, source, require_any=True), partitions)
+    files = spread(binary_files(spark, source, require_any=True), partitions)
     docs = overwrite_folder(parse_files(files, hooks), f"{target}/parsed_docs")
     quality_gate(docs, max_failed_percent, max_empty_percent)
     chunker = recursive_chunker(size, overlap)

@@ -36,7 +36,7 @@ def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(
-            F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "p_name", "p_type"))).alias("items")
+            F.sort_array(F.collect_list(F.struct(*LINE_ORDER, "p_name", "p_type"))).alias("items")
         )
     )
     customer = read_table(spark, sf_dir, "customer").select(

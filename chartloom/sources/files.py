@@ -33,20 +33,22 @@ def line_files(
     spark: SparkSession, path: str, streaming: bool = False,
     name_glob: str | None = None, per_trigger: int | None = None,
 ) -> DataFrame:
-    """``(file_path, block_start, line_id, value)``, one row per line.
-
-    ``LINE_ORDER`` restores the order of a file's lines: the start of the split they were read in,
-    then a number that grows while the split is read.
-    """
+    """``(file_path, block_start, value)``, one row per line; ``block_start`` is the start of the
+    split that the line was read in."""
     reader = _text_reader(spark, streaming, name_glob, per_trigger)
     return reader.text(path).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_id"),
         "value",
     )
 
 
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Add ``line_id``, which grows along each split, so that ``LINE_ORDER`` is the order of a
+    file's lines. Apply it to lines as they were read, or to a micro-batch of them."""
+    return lines.withColumn("line_id", F.monotonically_increasing_id())
+
+
 def without_names(df: DataFrame, part: str, path: str = "file_path") -> DataFrame:
     """Leave out the files whose name holds ``part``."""
     return df.filter(~file_name(F.col(path)).contains(part))

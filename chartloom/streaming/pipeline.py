@@ -19,7 +19,7 @@ from chartloom.operators.messages import (
 )
 from chartloom.schemas import SEGMENT_FIELD_NUMBERS
 from chartloom.sinks.tables import read_batch_folders, start_append, write_batch_folder
-from chartloom.sources.files import LINE_ORDER, message_files
+from chartloom.sources.files import LINE_ORDER, message_files, number_lines
 from chartloom.sources.tables import stream_folder
 
 
@@ -106,7 +106,7 @@ def assemble_stream(lines: DataFrame, path: str, checkpoint: str, separator: str
     """
     entries = F.collect_list(F.struct("line_no", "value")).alias("entries")
     grouped = lines.groupBy("file_path").agg(entries)
-    text = F.array_join(F.transform(F.array_sort("entries"), lambda e: e["value"]), separator)
+    text = F.array_join(F.transform(F.sort_array("entries"), lambda e: e["value"]), separator)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         write_batch_folder(batch.select("file_path", text.alias("value")), path, batch_id)
@@ -119,7 +119,7 @@ def assemble_whole_files(lines: DataFrame, path: str, checkpoint: str) -> None:
     sources do."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch_folder(assemble_messages(batch, LINE_ORDER), path, batch_id)
+        write_batch_folder(assemble_messages(number_lines(batch), LINE_ORDER), path, batch_id)
 
     run_batches(lines, write, checkpoint)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, functions as F
 
-from chartloom.functions.text import strip
+from chartloom.functions.text import bind
 
 # Where the recursive splitter cuts, coarsest first; the last one cuts anywhere.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -55,8 +55,7 @@ def word_windows(text: Column, size: int, overlap: int = 0) -> Column:
         )
         return F.when(F.size(tokens) > 0, cut)
 
-    # One-element array as a let-binding: the words are split once, not once per window.
-    return F.get(F.transform(F.array(words(text)), windows), F.lit(0))
+    return bind(words(text), windows)
 
 
 def word_count(text: str) -> int:

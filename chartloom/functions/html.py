@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from chartloom.functions.text import bind
+
 # Named character references and what they stand for; the ampersand comes last.
 ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
@@ -50,13 +52,8 @@ REMOVED = [
 LINK = r'(?is)<a\s[^>]*?href\s*=\s*["\']([^"\'>]*)["\'][^>]*>(.*?)</a\s*>'
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that it uses several times, without repeating the value's expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _where_present(text: Column, mark: str, change: Callable[[Column], Column]) -> Column:
-    return _bind(text, lambda t: F.when(F.instr(t, mark) > 0, change(t)).otherwise(t))
+    return bind(text, lambda t: F.when(F.instr(t, mark) > 0, change(t)).otherwise(t))
 
 
 def _inside(text: Column, opening: str, closing: str, change: Callable[[Column], Column]) -> Column:

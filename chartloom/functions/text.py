@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -10,6 +11,15 @@ from pyspark.sql import Column, functions as F
 BLANKS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it uses several times, without repeating the value's expression.
+
+    Worth it where Catalyst may move the expression, as it does with filters it pushes down: moving
+    inlines every column it is made of, once per use, and the copies multiply with each step.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 

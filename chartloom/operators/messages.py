@@ -1,7 +1,7 @@
 """Message operators: text to parsed struct, to segments, to one typed table per segment kind.
 
-Everything is a column expression. Each step is its own projection, so Catalyst keeps the split
-lines as one computed column instead of repeating the work in every expression that reads them.
+Everything is a column expression. Each step is its own projection, so Catalyst keeps its result as
+one computed column instead of repeating the work in every expression that reads it.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chartloom.schemas import MESSAGE_KEYS, SEGMENT_FIELD_NUMBERS
+from chartloom.functions.text import bind
+from chartloom.schemas import HEADER_COLUMNS, MESSAGE_KEYS, SEGMENT_FIELD_NUMBERS
 
 HEADER = "MSH"
 ERROR = "ERROR"
@@ -24,7 +25,7 @@ SHORTEST_MESSAGE = 8
 BLANKS = " \t\r\n"
 DEFAULT_REPETITION = "~"
 
-_TEXT, _FAULT, _SEP, _REP, _LINES = "__text", "__fault", "__sep", "__rep", "__lines"
+_FAULT, _SEP, _REP, _GOOD = "__fault", "__sep", "__rep", "__good"
 
 
 def _split_fields(line: Column, separator: Column) -> Column:
@@ -33,58 +34,68 @@ def _split_fields(line: Column, separator: Column) -> Column:
     return F.when(separator == "|", F.split(line, "\\|")).otherwise(F.split(line, quoted))
 
 
-def split_messages(messages: DataFrame, text: str = "value") -> DataFrame:
-    """Add the helper columns: fault text, separators and the lines split into fields."""
-    trimmed = messages.withColumn(_TEXT, F.ltrim(F.col(text), F.lit(BLANKS)))
-    body = F.col(_TEXT)
-    sixth = F.substring(body, 6, 1)
-    marked = trimmed.select(
-        "*",
-        F.when(body.isNull(), NO_TEXT)
-        .when(F.length(body) < SHORTEST_MESSAGE, TOO_SHORT)
-        .when(~body.startswith(HEADER), NO_HEADER)
-        .alias(_FAULT),
-        F.substring(body, 4, 1).alias(_SEP),
-        F.when(
-            (sixth == F.substring(body, 4, 1)) | sixth.isin("", "\r", "\n"), DEFAULT_REPETITION
-        ).otherwise(sixth).alias(_REP),
-    )
-
-    def lines(whole: Column) -> Column:
-        found = F.filter(
-            F.split(F.translate(whole, "\n", "\r"), "\r"), lambda line: F.trim(line) != ""
-        )
-        return F.transform(found, lambda line: _split_fields(line, F.substring(whole, 4, 1)))
+def _last_line(marks: Column, segment: str) -> Column:
+    """Fields behind the name in the last line of that segment kind; NULL without one."""
+    start = F.concat(F.lit("\r" + segment), marks[_SEP])
+    rest = F.call_function("substring_index", marks[_GOOD], start, F.lit(-1))
+    line = F.substring_index(rest, "\r", 1)
+    return F.when(F.contains(marks[_GOOD], start), _split_fields(line, marks[_SEP]))
 
-    # The text is bound once, as the element of an array. A later filter that Catalyst pushes down
-    # to here takes this expression along, and must not repeat the text's own for every line.
-    bound = F.get(F.transform(F.array(body), lines), F.lit(0))
-    return marked.withColumn(_LINES, F.when(F.col(_FAULT).isNull(), bound))
 
+def _message_head(text: Column) -> Column:
+    """Struct of fault, separators, readable text and header values of a message text.
 
-def _last_line(name: str) -> Column:
-    """The last line of that segment kind, as its array of fields; NULL without one."""
-    return F.try_element_at(F.filter(_LINES, lambda parts: parts[0] == name), F.lit(-1))
+    The readable text has a carriage return before every line. Only the last header and patient
+    lines are split, as they hold the header values.
+    """
+    normal = F.concat(F.lit("\r"), F.translate(F.ltrim(text, F.lit(BLANKS)), "\n", "\r"))
+
+    def from_text(whole: Column) -> Column:
+        separator, repetition = F.substring(whole, 5, 1), F.substring(whole, 7, 1)
+        fault = (
+            F.when(whole.isNull(), NO_TEXT)
+            .when(F.length(whole) <= SHORTEST_MESSAGE, TOO_SHORT)
+            .when(~whole.startswith("\r" + HEADER), NO_HEADER)
+        )
+        usual = (repetition == separator) | repetition.isin("", "\r")
+        marks = F.struct(
+            fault.alias(_FAULT),
+            separator.alias(_SEP),
+            F.when(usual, DEFAULT_REPETITION).otherwise(repetition).alias(_REP),
+            F.when(fault.isNull(), whole).alias(_GOOD),
+        )
+        return bind(marks, from_marks)
 
+    def from_marks(marks: Column) -> Column:
+        lines = F.struct(
+            _last_line(marks, HEADER).alias("header"), _last_line(marks, "PID").alias("patient")
+        )
+        return bind(lines, lambda found: from_lines(marks, found))
 
-def header_columns() -> list[Column]:
-    """Type, time, patient id and patient name; the last header and patient lines count."""
-    fault, rep = F.col(_FAULT), F.col(_REP)
-    header, patient = _last_line(HEADER), _last_line("PID")
+    def from_lines(marks: Column, found: Column) -> Column:
+        def value(line: str, place: int) -> Column:
+            field = F.get(found[line], F.lit(place))
+            first = F.call_function("substring_index", field, marks[_REP], F.lit(1))
+            return F.when(first != "", first)
 
-    def value(line: Column, position: int) -> Column:
-        first = F.call_function(
-            "substring_index", F.get(line, F.lit(position)), rep, F.lit(1)
+        # The header line carries its separator as field 1, so its fields sit one place earlier.
+        kind = F.when(marks[_FAULT].isNotNull(), ERROR).otherwise(value("header", 7))
+        return F.struct(
+            *[marks[name].alias(name) for name in (_FAULT, _SEP, _REP, _GOOD)],
+            kind.alias("message_type"),
+            value("header", 5).alias("message_datetime"),
+            value("patient", 2).alias("patient_id"),
+            value("patient", 4).alias("patient_name"),
         )
-        return F.nullif(first, F.lit(""))
 
-    # The header line carries its separator as field 1, so its fields sit one place earlier.
-    return [
-        F.when(fault.isNotNull(), ERROR).otherwise(value(header, 8)).alias("message_type"),
-        value(header, 6).alias("message_datetime"),
-        value(patient, 3).alias("patient_id"),
-        value(patient, 5).alias("patient_name"),
-    ]
+    return bind(normal, from_text)
+
+
+def with_head(messages: DataFrame, text: str = "value") -> DataFrame:
+    """Add the header columns and the helper columns of ``_message_head``."""
+    head = messages.withColumn("__head", _message_head(F.col(text)))
+    names = [_FAULT, _SEP, _REP, _GOOD, *HEADER_COLUMNS]
+    return head.select(*messages.columns, *[F.col("__head")[n].alias(n) for n in names])
 
 
 def _last_repetition(field: Column) -> Column:
@@ -110,13 +121,26 @@ def _field_map(parts: Column) -> Column:
     )
 
 
+def _lines_of(segments: Iterable[str] | None) -> Column:
+    """Lines of the named segment kinds, or all lines that are not blank."""
+    lines = F.split(_GOOD, "\r")
+    if segments is None:
+        return F.filter(lines, lambda line: F.trim(line) != "")
+    names = list(segments)
+
+    def wanted(line: Column) -> Column:
+        match = line.isin(names)
+        for name in names:
+            match = match | line.startswith(F.concat(F.lit(name), F.col(_SEP)))
+        return match
+
+    return F.filter(lines, wanted)
+
+
 def _segment_array(only: Iterable[str] | None) -> Column:
-    wanted = F.col(_LINES)
-    if only is not None:
-        names = list(only)
-        wanted = F.filter(wanted, lambda parts: parts[0].isin(names))
+    split = F.transform(_lines_of(only), lambda line: _split_fields(line, F.col(_SEP)))
     parsed = F.transform(
-        wanted,
+        split,
         lambda parts: F.struct(parts[0].alias("segment_id"), _field_map(parts).alias("fields")),
     )
     fault = F.array(
@@ -133,16 +157,15 @@ def parse_messages(
 ) -> DataFrame:
     """Add the struct ``parsed``. ``only`` keeps the named segment kinds and skips the others
     before their field maps are built; unreadable messages stay as ERROR rows either way."""
-    split = split_messages(messages, text)
-    return split.select(
-        *[F.col(c) for c in messages.columns],
-        F.struct(*header_columns(), _segment_array(only).alias("segments")).alias("parsed"),
+    return with_head(messages, text).select(
+        *messages.columns,
+        F.struct(*HEADER_COLUMNS, _segment_array(only).alias("segments")).alias("parsed"),
     )
 
 
 def flatten_messages(parsed: DataFrame, provenance: Iterable[str] = ()) -> DataFrame:
     """One flat row per message. ``provenance`` names extra columns to carry, such as the file."""
-    names = ["message_type", "message_datetime", "patient_id", "patient_name", "segments"]
+    names = [*HEADER_COLUMNS, "segments"]
     return parsed.select(*provenance, *[F.col(f"parsed.{n}").alias(n) for n in names])
 
 
@@ -209,18 +232,15 @@ def segment_table_from_text(
     messages: DataFrame, segment: str, numbers: Iterable[int] | None = None,
     text: str = "value", provenance: Iterable[str] = (),
 ) -> DataFrame:
-    """The same typed table straight from message text, without field maps in between."""
-    # Header values come first, in a projection below the generator: once per message, not per row.
-    headed = split_messages(messages, text).select(
-        *provenance, *header_columns()[:3], _SEP, _REP, _LINES
+    """The same typed table straight from message text: only lines of this kind are split, and no
+    field maps are built."""
+    headed = with_head(messages, text).select(
+        *provenance, *MESSAGE_KEYS, _SEP, _REP, _GOOD
     )
-    rows = headed.select(
-        *provenance,
-        *MESSAGE_KEYS,
-        _SEP,
-        _REP,
-        F.explode(F.filter(_LINES, lambda parts: parts[0] == segment)).alias("__parts"),
+    lines = headed.select(
+        *provenance, *MESSAGE_KEYS, _SEP, _REP, F.explode(_lines_of([segment])).alias("__line")
     )
+    rows = lines.withColumn("__parts", _split_fields(F.col("__line"), F.col(_SEP)))
 
     def column(number: int) -> Column:
         if segment == HEADER and number == 1:
@@ -229,7 +249,7 @@ def segment_table_from_text(
         field = F.get(F.col("__parts"), F.lit(place))
         if not (segment == HEADER and number == 2):
             field = _last_repetition(field)
-        return F.nullif(field, F.lit(""))
+        return F.when(field != "", field)
 
     return rows.select(
         *provenance,
@@ -250,7 +270,7 @@ def text_faults(
     messages: DataFrame, text: str = "value", provenance: Iterable[str] = ()
 ) -> DataFrame:
     """The same rows straight from message text; looks at the start of each text only."""
-    return split_messages(messages, text).filter(F.col(_FAULT).isNotNull()).select(
+    return with_head(messages, text).filter(F.col(_FAULT).isNotNull()).select(
         *provenance, F.col(_FAULT).alias("error_text")
     )
 

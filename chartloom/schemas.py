@@ -21,6 +21,7 @@ SEGMENT_FIELD_NUMBERS: dict[str, list[int]] = {
 }
 
 MESSAGE_KEYS = ["message_type", "message_datetime", "patient_id"]
+HEADER_COLUMNS = [*MESSAGE_KEYS, "patient_name"]
 
 SEGMENT_TYPE = T.StructType(
     [

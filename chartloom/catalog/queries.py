@@ -43,12 +43,51 @@ def all_queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """A table made from the test tables, stored the first time a session asks for it.
+
+    It stands for the landed input of the message queries, which a pipeline finds stored too.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_folder(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message text per order."""
+    return documents.spread(_stored(spark, sf_dir, "raw_data", samples.message_texts))
+
+
+def _raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _stored(spark, sf_dir, "raw_data", samples.message_texts)
+    path = _STORED[(spark.sparkContext.applicationId, sf_dir, "raw_data")]
+    return stream_folder(spark, path, stored.schema, per_trigger=1_000)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "raw_lines", samples.message_lines)
+
+
+def store_message_input(spark: SparkSession, sf_dir: str) -> None:
+    """Make and store the input of the message queries ahead of them."""
+    _stored(spark, sf_dir, "raw_data", samples.message_texts)
+    _lines(spark, sf_dir)
+
+
 def _flat(spark: SparkSession, sf_dir: str, provenance: tuple[str, ...] = ()) -> DataFrame:
-    return msg.flatten_messages(msg.parse_messages(samples.message_texts(spark, sf_dir)), provenance)
+    return msg.flatten_messages(msg.parse_messages(_raw(spark, sf_dir)), provenance)
 
 
 def _allergies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return msg.segment_table_from_text(samples.message_texts(spark, sf_dir), "AL1")
+    return msg.segment_table_from_text(_raw(spark, sf_dir), "AL1")
 
 
 def _allergy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +100,7 @@ def _allergy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def message_assemble(spark, sf_dir):
-    return grouping.assemble_messages(samples.message_lines(spark, sf_dir))
+    return grouping.assemble_messages(_lines(spark, sf_dir))
 
 
 @_query
@@ -91,7 +130,7 @@ def gold_all_counts(spark, sf_dir):
 
 def _gold(segment: str) -> Query:
     def run(spark, sf_dir):
-        return msg.segment_table_from_text(samples.message_texts(spark, sf_dir), segment)
+        return msg.segment_table_from_text(_raw(spark, sf_dir), segment)
 
     return run
 
@@ -113,7 +152,7 @@ def message_errors(spark, sf_dir):
 
 @_query
 def message_error_report(spark, sf_dir):
-    return msg.error_report(msg.text_faults(samples.message_texts(spark, sf_dir)))
+    return msg.error_report(msg.text_faults(_raw(spark, sf_dir)))
 
 
 @_query
@@ -157,24 +196,21 @@ def distinct_allergies(spark, sf_dir):
 # Streams
 
 
-def _streams(spark: SparkSession, sf_dir: str, label: str) -> pipeline.MessageStreams:
-    """A pipeline whose raw table already holds one message per order."""
-    streams = pipeline.MessageStreams(spark, scratch_folder(spark, label), per_trigger=64)
-    overwrite_folder(samples.message_texts(spark, sf_dir), streams.path("raw_data"))
-    return streams
+def _streams(spark: SparkSession, label: str) -> pipeline.MessageStreams:
+    return pipeline.MessageStreams(spark, scratch_folder(spark, label), per_trigger=1_000)
 
 
 @_query
 def stream_gold_al1(spark, sf_dir):
-    streams = _streams(spark, sf_dir, "gold-al1")
-    streams.run("gold_al1", msg.segment_table_from_text(streams.stream("raw_data"), "AL1"))
+    streams = _streams(spark, "gold-al1")
+    streams.run("gold_al1", msg.segment_table_from_text(_raw_stream(spark, sf_dir), "AL1"))
     return streams.read("gold_al1")
 
 
 @_query
 def stream_multi_hop(spark, sf_dir):
-    streams = _streams(spark, sf_dir, "multi-hop")
-    streams.bronze()
+    streams = _streams(spark, "multi-hop")
+    streams.bronze(_raw_stream(spark, sf_dir))
     streams.silver()
     streams.gold_all()
     return streams.read("gold_all").select(
@@ -184,8 +220,8 @@ def stream_multi_hop(spark, sf_dir):
 
 @_query
 def stream_fanout(spark, sf_dir):
-    streams = _streams(spark, sf_dir, "fan-out")
-    streams.bronze()
+    streams = _streams(spark, "fan-out")
+    streams.bronze(_raw_stream(spark, sf_dir))
     streams.silver()
     streams.fan_out()
     return _segment_counts(streams.fanned_segments())
@@ -216,15 +252,12 @@ def stream_line_files(spark, sf_dir):
     return pipeline.assembled(spark, f"{root}/texts").select("value")
 
 
-def _line_stream(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
-    stored = overwrite_folder(samples.message_lines(spark, sf_dir), f"{root}/lines")
-    return stream_folder(spark, f"{root}/lines", stored.schema, per_trigger=4)
-
-
 @_query
 def stream_assemble_upsert(spark, sf_dir):
     root = scratch_folder(spark, "assemble")
-    lines = _line_stream(spark, sf_dir, root)
+    stored = _lines(spark, sf_dir)
+    path = _STORED[(spark.sparkContext.applicationId, sf_dir, "raw_lines")]
+    lines = stream_folder(spark, path, stored.schema, per_trigger=4)
     pipeline.assemble_stream(lines, f"{root}/texts", f"{root}/checkpoint")
     return pipeline.assembled(spark, f"{root}/texts")
 

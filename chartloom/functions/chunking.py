@@ -116,6 +116,8 @@ def recursive_chunker(
             yield "".join(p for p, _ in held)
 
     def chunks(text: str) -> list[str]:
+        if length(text) <= size:
+            return [whole] if (whole := text.strip()) else []
         found = (c.strip() for run in runs(text, 0) for c in pack(run))
         return [c for c in found if c]
 

@@ -18,6 +18,6 @@ def build_segment_tables(
 ) -> dict[str, DataFrame]:
     """Parse once, store the segments by kind, and give every typed table as a pruned read."""
     exploded = explode_segments(flatten_messages(parse_messages(messages)))
-    stored = overwrite_folder(exploded, f"{target}/gold_all", ("segment_id",))
+    stored = overwrite_folder(exploded, f"{target}/gold_all", "segment_id")
     tables = {f"gold_{s.lower()}": typed_segments(stored, s) for s in segments}
     return {"gold_all": stored, **tables}

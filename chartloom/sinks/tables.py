@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -12,12 +12,17 @@ def overwrite_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def overwrite_folder(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Replace a parquet folder and read it back; later steps start from the stored rows."""
-    writer = df.write.mode("overwrite")
+def overwrite_folder(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    """Replace a parquet folder and read it back; later steps start from the stored rows.
+
+    With ``partition_by`` the rows are gathered by its values first, so that not every task writes
+    a small file for each. The rebalance splits values that hold much of the table.
+    """
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        gathered = df.hint("rebalance", F.col(partition_by))
+        gathered.write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -18,7 +18,7 @@ from chartloom.operators.messages import (
     explode_segments, flatten_messages, parse_messages, segment_table, typed_segments,
 )
 from chartloom.schemas import SEGMENT_FIELD_NUMBERS
-from chartloom.sinks.tables import read_batch_folders, start_append, write_batch_folder
+from chartloom.sinks.tables import overwrite_folder, read_batch_folders, start_append, write_batch_folder
 from chartloom.sources.files import LINE_ORDER, message_files, number_lines
 from chartloom.sources.tables import stream_folder
 
@@ -47,8 +47,9 @@ class MessageStreams:
         files = message_files(self.spark, landing, True, name_glob, self.per_trigger)
         self.run("raw_data", files)
 
-    def bronze(self) -> None:
-        self.run("bronze", parse_messages(self.stream("raw_data")))
+    def bronze(self, raw: DataFrame | None = None) -> None:
+        """Parse the raw table, or another stream of ``(file_path, value)``."""
+        self.run("bronze", parse_messages(self.stream("raw_data") if raw is None else raw))
 
     def silver(self) -> None:
         self.run("silver", flatten_messages(self.stream("bronze")))
@@ -71,8 +72,8 @@ class MessageStreams:
         one typed table touches only its own folder."""
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            explode_segments(batch).write.mode("overwrite").partitionBy("segment_id").parquet(
-                f"{self.path('segments')}/batch_id={batch_id}"
+            overwrite_folder(
+                explode_segments(batch), f"{self.path('segments')}/batch_id={batch_id}", "segment_id"
             )
 
         run_batches(self.stream("silver"), write, self.path("_checkpoints/segments"))

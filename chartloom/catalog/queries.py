@@ -355,7 +355,12 @@ def _snapshot_chunks(spark: SparkSession, sf_dir: str, version: int) -> DataFram
 
 
 def _snapshot(spark: SparkSession, sf_dir: str, version: int) -> DataFrame:
-    return changes.collapse_keys(_snapshot_chunks(spark, sf_dir, version))
+    """The stored, keyed chunk table of one delivery."""
+
+    def build(spark, sf_dir):
+        return changes.collapse_keys(_snapshot_chunks(spark, sf_dir, version))
+
+    return _stored(spark, sf_dir, f"chunks-{version}", build)
 
 
 @_query

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from chartloom.operators.documents import spread
 from chartloom.session import read_table
 
 LINE_ORDER = [
@@ -178,7 +179,7 @@ def document_snapshot(spark: SparkSession, sf_dir: str, version: int) -> DataFra
     The first lacks the Spanish documents and the second the German ones; the second has revised
     French texts and a later delivery time for English documents with a quality label.
     """
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     first, second = F.lit("2024-01-01 00:00:00"), F.lit("2024-02-01 00:00:00")
     if version == 1:
         kept = docs.filter(F.col("lang") != "es").withColumn("delivered", first)

@@ -220,7 +220,7 @@ def all_oracles() -> dict[str, str]:
             SELECT chunk_id, content_chunked FROM old
             WHERE chunk_id IN (SELECT chunk_id FROM new)""",
         "vector_topk": _neighbors_sql("true"),
-        "vector_topk_filtered": _neighbors_sql("b.label % 2 = 0"),
+        "vector_topk_filtered": _neighbors_sql("b.label >= 5"),
         "embed_hash": "WITH " + _weights_cte("w", "documents", "doc_id", "text") + """
             SELECT doc_id, slot, round(weight, 5) AS weight FROM w""",
         "code_allergies": _code_allergies_sql(),

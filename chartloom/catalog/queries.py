@@ -20,7 +20,7 @@ from chartloom.session import read_table, scratch_folder
 from chartloom.sinks.tables import overwrite_folder
 from chartloom.sources.files import file_listing, line_files
 from chartloom.sources.tables import stream_folder
-from chartloom.streaming import pipeline
+from chartloom.streaming import hops
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -196,8 +196,8 @@ def distinct_allergies(spark, sf_dir):
 # Streams
 
 
-def _streams(spark: SparkSession, label: str) -> pipeline.MessageStreams:
-    return pipeline.MessageStreams(spark, scratch_folder(spark, label), per_trigger=1_000)
+def _streams(spark: SparkSession, label: str) -> hops.MessageStreams:
+    return hops.MessageStreams(spark, scratch_folder(spark, label), per_trigger=1_000)
 
 
 @_query
@@ -236,7 +236,7 @@ def _supplier_landing(spark: SparkSession, sf_dir: str, root: str) -> str:
 @_query
 def stream_message_files(spark, sf_dir):
     """One text file per supplier message, picked up by the file source as whole files."""
-    streams = pipeline.MessageStreams(spark, scratch_folder(spark, "files"), per_trigger=10_000)
+    streams = hops.MessageStreams(spark, scratch_folder(spark, "files"), per_trigger=10_000)
     streams.ingest(_supplier_landing(spark, sf_dir, streams.root), name_glob="part-*.txt")
     streams.run("gold_pid", msg.segment_table_from_text(streams.stream("raw_data"), "PID"))
     return streams.read("gold_pid").select(*MESSAGE_KEYS, "PID_1", "PID_3", "PID_5")
@@ -248,8 +248,8 @@ def stream_line_files(spark, sf_dir):
     root = scratch_folder(spark, "lines")
     landing = _supplier_landing(spark, sf_dir, root)
     lines = line_files(spark, landing, streaming=True, name_glob="part-*.txt", per_trigger=10_000)
-    pipeline.assemble_whole_files(lines, f"{root}/texts", f"{root}/checkpoint")
-    return pipeline.assembled(spark, f"{root}/texts").select("value")
+    hops.assemble_whole_files(lines, f"{root}/texts", f"{root}/checkpoint")
+    return hops.assembled(spark, f"{root}/texts").select("value")
 
 
 @_query
@@ -258,8 +258,8 @@ def stream_assemble_upsert(spark, sf_dir):
     stored = _lines(spark, sf_dir)
     path = _STORED[(spark.sparkContext.applicationId, sf_dir, "raw_lines")]
     lines = stream_folder(spark, path, stored.schema, per_trigger=4)
-    pipeline.assemble_stream(lines, f"{root}/texts", f"{root}/checkpoint")
-    return pipeline.assembled(spark, f"{root}/texts")
+    hops.assemble_stream(lines, f"{root}/texts", f"{root}/checkpoint")
+    return hops.assembled(spark, f"{root}/texts")
 
 
 @_query
@@ -269,11 +269,11 @@ def stream_index_sync(spark, sf_dir):
     for version in (1, 2):
         _snapshot_chunks(spark, sf_dir, version).write.mode("append").parquet(f"{root}/chunks")
         schema = spark.read.parquet(f"{root}/chunks").schema
-        pipeline.sync_index_stream(
+        hops.sync_index_stream(
             stream_folder(spark, f"{root}/chunks", schema), f"{root}/index",
             f"{root}/checkpoint", with_embedding,
         )
-    return pipeline.read_index(spark, f"{root}/index").select(
+    return hops.read_index(spark, f"{root}/index").select(
         "chunk_id", F.length("content_chunked").alias("n_chars"),
         F.size("embedding").alias("dimensions"),
     )
@@ -442,9 +442,9 @@ def vector_topk(spark, sf_dir):
 
 @_query
 def vector_topk_filtered(spark, sf_dir):
-    """The same among vectors with an even label only, a predicate on the corpus."""
+    """The same among vectors of the upper labels, a predicate on the corpus."""
     vectors = _vectors(spark, sf_dir)
-    return _neighbors(similarity.topk_similar, vectors, vectors.filter(F.col("label") % 2 == 0))
+    return _neighbors(similarity.topk_similar, vectors, vectors.filter(F.col("label") >= 5))
 
 
 @_query

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from chartloom.operators.changes import INSERT, collapse_keys, latest_by_key, rows_to_embed
 from chartloom.operators.chunks import CHUNK_KEY, CHUNK_TEXT
@@ -143,12 +142,10 @@ def sync_index_stream(
     spark = chunks.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        log = spark.read.schema(INDEX_LOG_SCHEMA).option("basePath", path)
-        write_empty = batch_id == 0
         source = collapse_keys(batch, CHUNK_KEY).select(CHUNK_KEY, CHUNK_TEXT)
-        if not write_empty:
-            earlier = log.parquet(path).filter(F.col("batch_id") < batch_id)
-            source = rows_to_embed(source, earlier)
+        if batch_id > 0:
+            log = spark.read.schema(INDEX_LOG_SCHEMA).parquet(path)
+            source = rows_to_embed(source, log.filter(F.col("batch_id") < batch_id))
         fresh = embed(source).select(
             F.lit(INSERT).alias("change_type"), CHUNK_KEY, CHUNK_TEXT, "embedding"
         )
@@ -158,7 +155,4 @@ def sync_index_stream(
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return latest_by_key(
-        spark.read.schema(StructType.fromDDL(INDEX_LOG_SCHEMA)).option("basePath", path).parquet(path),
-        CHUNK_KEY,
-    )
+    return latest_by_key(spark.read.schema(INDEX_LOG_SCHEMA).parquet(path), CHUNK_KEY)

@@ -11,7 +11,7 @@ from chartloom.sinks import tables as sinks
 from chartloom.sources import tables as sources
 from chartloom.sources.files import LINE_ORDER, line_files, message_files, number_lines
 from chartloom.operators.grouping import assemble_messages
-from chartloom.streaming import pipeline
+from chartloom.streaming import hops
 
 HEAD = "MSH|^~\\&|A|B|C|D|2024||ADT^A01|7|P|2.5"
 
@@ -32,7 +32,7 @@ def test_hops_equal_batch_and_take_new_files_only(spark, tmp_path):
     land(landing, "part-002", "p2", "\r\n")
     land(landing, "other-003", "p3")
     (landing / "part-004").write_text("no header here")
-    streams = pipeline.MessageStreams(spark, str(tmp_path / "out"), per_trigger=1)
+    streams = hops.MessageStreams(spark, str(tmp_path / "out"), per_trigger=1)
     streams.ingest(str(landing), name_glob="part-00*")
     streams.run_all(["AL1", "PID"])
     files = message_files(spark, str(landing), name_glob="part-00*")
@@ -66,8 +66,8 @@ def test_lines_are_put_together_in_order(spark, tmp_path):
     assert {r["file_path"]: r["value"] for r in whole.collect()} == expected
     out, checkpoint = str(tmp_path / "texts"), str(tmp_path / "checkpoint")
     stream = line_files(spark, str(landing), streaming=True, per_trigger=2)
-    pipeline.assemble_whole_files(stream, out, checkpoint)
-    got = {r["file_path"]: r["value"] for r in pipeline.assembled(spark, out).collect()}
+    hops.assemble_whole_files(stream, out, checkpoint)
+    got = {r["file_path"]: r["value"] for r in hops.assembled(spark, out).collect()}
     assert got == expected
 
 
@@ -78,8 +78,8 @@ def test_stateful_assembly_grows_texts(spark, tmp_path):
         spark.createDataFrame(batch, schema).write.mode("append").parquet(folder)
         stored = spark.read.parquet(folder).schema
         stream = sources.stream_folder(spark, folder, stored)
-        pipeline.assemble_stream(stream, out, checkpoint)
-    got = {r["file_path"]: r["value"] for r in pipeline.assembled(spark, out).collect()}
+        hops.assemble_stream(stream, out, checkpoint)
+    got = {r["file_path"]: r["value"] for r in hops.assembled(spark, out).collect()}
     assert got == {"f": "a\rb\rc", "g": "x"}
 
 
@@ -95,9 +95,9 @@ def test_index_stream_embeds_each_key_once(spark, tmp_path):
     for batch in ([("a", "A", "u"), ("a", "A", "v"), ("b", "B", "u")], [("b", "B", "w"), ("c", "C", "w")]):
         spark.createDataFrame(batch, schema).write.mode("append").parquet(folder)
         stored = spark.read.parquet(folder).schema
-        pipeline.sync_index_stream(sources.stream_folder(spark, folder, stored), out, checkpoint, embed)
+        hops.sync_index_stream(sources.stream_folder(spark, folder, stored), out, checkpoint, embed)
     assert seen == [["a", "b"], ["c"]]
-    assert sorted(r["chunk_id"] for r in pipeline.read_index(spark, out).collect()) == ["a", "b", "c"]
+    assert sorted(r["chunk_id"] for r in hops.read_index(spark, out).collect()) == ["a", "b", "c"]
 
 
 def test_batch_plan_of_segment_tables(spark, tmp_path):

@@ -35,6 +35,12 @@ def check_chunk_sizes(size: int, overlap: int, window: int | None = None) -> Non
         raise ValueError(f"overlap {overlap} exceeds chunk size {size}")
 
 
+def context_window(model: str) -> int:
+    if model not in CONTEXT_WINDOWS:
+        raise ValueError(f"unknown embedding model {model}; known are {sorted(CONTEXT_WINDOWS)}")
+    return CONTEXT_WINDOWS[model]
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
@@ -122,3 +128,14 @@ def recursive_chunker(
         return [c for c in found if c]
 
     return chunks
+
+
+def model_chunker(
+    model: str, size: int | None = None, overlap: int = 0,
+    length: Callable[[str], int] = word_count,
+) -> Callable[[str], list[str]]:
+    """Recursive chunker for an embedding model: without a size, chunks fill its context window."""
+    window = context_window(model)
+    size = size or window
+    check_chunk_sizes(size, overlap, window)
+    return recursive_chunker(size, overlap, length)

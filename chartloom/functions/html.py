@@ -142,4 +142,6 @@ def html_to_markdown(html: Column) -> Column:
     text = F.regexp_replace(text, r"\n +", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     text = F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
-    return F.translate(text, KEPT, "\n *_")
+    for kept, char in zip(KEPT, "\n *_"):
+        text = F.replace(text, F.lit(kept), F.lit(char))
+    return text

@@ -48,7 +48,9 @@ def _message_head(text: Column) -> Column:
     The readable text has a carriage return before every line. Only the last header and patient
     lines are split, as they hold the header values.
     """
-    normal = F.concat(F.lit("\r"), F.translate(F.ltrim(text, F.lit(BLANKS)), "\n", "\r"))
+    # replace, not translate: that one looks up every single character.
+    body = F.replace(F.ltrim(text, F.lit(BLANKS)), F.lit("\n"), F.lit("\r"))
+    normal = F.concat(F.lit("\r"), body)
 
     def from_text(whole: Column) -> Column:
         separator, repetition = F.substring(whole, 5, 1), F.substring(whole, 7, 1)

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from chartloom.functions.chunking import check_chunk_sizes, recursive_chunker
+from chartloom.functions.chunking import check_chunk_sizes, model_chunker, recursive_chunker
 from chartloom.operators import chunks
 from chartloom.operators.changes import collapse_keys
 
@@ -104,3 +104,13 @@ def test_collapse_keeps_the_first_source(spark):
     )
     rows = collapse_keys(chunks.chunk_fixed(docs, 5)).collect()
     assert sorted((r["content_chunked"], r["doc_uri"]) for r in rows) == [("other", "u2"), ("same", "u1")]
+
+
+def test_model_chunker():
+    text = " ".join(map(str, range(600)))
+    assert [len(c.split()) for c in model_chunker("bge-large-en-v1.5")(text)] == [512, 88]
+    assert len(model_chunker("gte-large-en-v1.5", 200)(text)) == 3
+    with pytest.raises(ValueError, match="context window"):
+        model_chunker("bge-large-en-v1.5", 500, 100)
+    with pytest.raises(ValueError, match="unknown embedding model"):
+        model_chunker("nothing")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chartloom.llm.language_id import identify_languages
 from chartloom.llm.token_counts import count_tokens
 from chartloom.llm.url_filter import judge_urls
 from chartloom.session import read_table
@@ -55,3 +56,8 @@ def op2_token_counts(spark, sf_dir):
 @_query
 def op4_url_filters(spark, sf_dir):
     return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@_query
+def op5_language_id(spark, sf_dir):
+    return identify_languages(read_table(spark, sf_dir, "documents"))

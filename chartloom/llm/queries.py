@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chartloom.llm.fingerprints import fingerprint_edits
 from chartloom.llm.language_id import identify_languages
 from chartloom.llm.token_counts import count_tokens
 from chartloom.llm.url_filter import judge_urls
@@ -61,3 +62,8 @@ def op4_url_filters(spark, sf_dir):
 @_query
 def op5_language_id(spark, sf_dir):
     return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_fingerprints(spark, sf_dir):
+    return fingerprint_edits(read_table(spark, sf_dir, "documents"))

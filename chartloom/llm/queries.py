@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chartloom.llm.fingerprints import fingerprint_edits
+from chartloom.llm.jaccard_join import near_copies
 from chartloom.llm.language_id import identify_languages
 from chartloom.llm.token_counts import count_tokens
 from chartloom.llm.url_filter import judge_urls
@@ -67,3 +68,8 @@ def op5_language_id(spark, sf_dir):
 @_query
 def op7_fingerprints(spark, sf_dir):
     return fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_ngram_jaccard(spark, sf_dir):
+    return near_copies(read_table(spark, sf_dir, "documents")).drop("digest")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from chartloom.llm.fingerprints import fingerprint_edits
 from chartloom.llm.jaccard_join import near_copies
 from chartloom.llm.language_id import identify_languages
+from chartloom.llm.packing import pack_documents
 from chartloom.llm.token_counts import count_tokens
 from chartloom.llm.url_filter import judge_urls
 from chartloom.session import read_table
@@ -73,3 +74,8 @@ def op7_fingerprints(spark, sf_dir):
 @_query
 def op10_ngram_jaccard(spark, sf_dir):
     return near_copies(read_table(spark, sf_dir, "documents")).drop("digest")
+
+
+@_query
+def op8_best_fit_packing(spark, sf_dir):
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chartloom.llm.fingerprints import fingerprint_edits
+from chartloom.llm.html_text import extract_main_text
 from chartloom.llm.jaccard_join import near_copies
 from chartloom.llm.language_id import identify_languages
 from chartloom.llm.packing import pack_documents
@@ -79,3 +80,8 @@ def op10_ngram_jaccard(spark, sf_dir):
 @_query
 def op8_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@_query
+def op3_html_extraction(spark, sf_dir):
+    return extract_main_text(read_table(spark, sf_dir, "pages"))

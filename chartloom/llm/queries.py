@@ -10,6 +10,7 @@ from chartloom.llm.fingerprints import fingerprint_edits
 from chartloom.llm.html_text import extract_main_text
 from chartloom.llm.jaccard_join import near_copies
 from chartloom.llm.language_id import identify_languages
+from chartloom.llm.license_scan import scan_licences
 from chartloom.llm.packing import pack_documents
 from chartloom.llm.token_counts import count_tokens
 from chartloom.llm.url_filter import judge_urls
@@ -85,3 +86,8 @@ def op8_best_fit_packing(spark, sf_dir):
 @_query
 def op3_html_extraction(spark, sf_dir):
     return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op6_license_scans(spark, sf_dir):
+    return scan_licences(read_table(spark, sf_dir, "documents"))

@@ -157,7 +157,7 @@ def _deal(buckets: int, from_count: int):
     return run
 
 
-def _count_tokens(keep_tokens: bool):
+def _count_tokens(keep_tokens: bool, buckets: int = 1):
     """Of each ref of a partition's buckets: how many of its tokens are shared, or which and how often.
     A marked token counts as ``2 ** 31 - 1``, wherever it is met."""
     most = 2**31 - 1
@@ -187,32 +187,57 @@ def _count_tokens(keep_tokens: bool):
         counts = np.concatenate([counts[shared], np.full(len(tokens) - int(shared.sum()), most)]).astype("<u4")
         order = np.argsort(refs, kind="stable")
         of, runs = _runs(refs[order])
-        tokens, counts = tokens[order], counts[order]
-        ends = np.concatenate(([0], np.cumsum(runs, dtype=np.int64)))
-        for start in range(0, len(of), 10_000):
-            some = range(start, min(start + 10_000, len(of)))
-            arrays = [pa.array(of[start : start + 10_000]), pa.array(runs[start : start + 10_000].astype(np.int64))]
-            names = ["ref", "shared"]
-            if keep_tokens:
-                arrays += [
-                    pa.array([tokens[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
-                    pa.array([counts[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
-                ]
-                names += ["tokens", "counts"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        if not keep_tokens:
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(runs.astype(np.int64))], ["ref", "shared"])
+            return
+        tokens, counts, refs = tokens[order], counts[order], np.repeat(of, runs)
+        home = (refs % buckets).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        ends = np.searchsorted(home[order], np.arange(buckets + 1))
+        rows = [[], [], [], []]
+        for b in np.flatnonzero(np.diff(ends)):
+            part = order[ends[b] : ends[b + 1]]
+            for column, value in zip(rows, (int(b), refs[part].tobytes(), tokens[part].tobytes(), counts[part].tobytes())):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "refs", "tokens", "counts"]
+        )
 
     return run
 
 
+def _by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed parts of a partition's buckets, a row for each set."""
+    parts = [[np.empty(0, kind)] for kind in (np.int64, np.uint64, "<u4")]
+    for batch in batches:
+        for column, part, kind in zip(("refs", "tokens", "counts"), parts, (np.int64, np.uint64, "<u4")):
+            part += [np.frombuffer(raw, kind) for raw in batch.column(column).to_pylist()]
+    refs, tokens, counts = map(np.concatenate, parts)
+    order = np.argsort(refs, kind="stable")
+    of, runs = _runs(refs[order])
+    tokens, counts = tokens[order], counts[order]
+    ends = np.concatenate(([0], np.cumsum(runs, dtype=np.int64)))
+    for start in range(0, len(of), 2_000):
+        some = range(start, min(start + 2_000, len(of)))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(of[start : start + 2_000]),
+                pa.array(runs[start : start + 2_000].astype(np.int64)),
+                pa.array([tokens[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
+                pa.array([counts[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
+            ],
+            ["ref", "shared", "tokens", "counts"],
+        )
+
+
 def _index(percent: int, orders: int):
-    """The first tokens of each set under each order; ``tokens, counts`` are lists of packed parts."""
+    """The first tokens of each set under each order."""
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
-            for ref, n, parts, counts in zip(*(batch.column(x).to_pylist() for x in ("ref", "n", "tokens", "counts"))):
-                tokens = np.frombuffer(b"".join(parts), np.uint64)
-                rarity = np.frombuffer(b"".join(counts), "<u4")
+            out = [[], [], [], [], []]
+            for ref, n, packed, counts in zip(*(batch.column(x).to_pylist() for x in ("ref", "n", "tokens", "counts"))):
+                tokens, rarity = np.frombuffer(packed, np.uint64), np.frombuffer(counts, "<u4")
                 most = n - least_shared(n, percent) + 1 - (n - len(tokens))  # tokens of no other set come first
                 if most <= 0:
                     continue
@@ -222,8 +247,11 @@ def _index(percent: int, orders: int):
                     out[1].append(signed(chosen))
                     out[2].append(np.full(len(chosen), ref, np.int64))
                     out[3].append(np.full(len(chosen), n, np.int64))
+                    out[4].append(np.full(len(chosen), len(tokens), np.int64))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["ord", "token", "ref", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in out], ["ord", "token", "ref", "n", "shared"]
+                )
 
     return run
 
@@ -249,23 +277,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _fits(a: str, b: str, percent: int):
-    """Sizes that a link can have."""
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+    """Whether two sets of these sizes can link: what they share is at most what either shares with any
+    other set, and the rest of both is in their union."""
+    most = F.least(f"{a}shared", f"{b}shared")
+    return 100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most)
 
 
 def link_sets(candidates: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Verified links ``a, b`` that join all linked sets, from an index ``ord, token, ref, n``."""
+    """Verified links ``a, b`` that join all linked sets, from an index ``ord, token, ref, n, shared``."""
+    columns = ("ord", "token", "ref", "n", "shared")
     first = candidates.where("ord = 0")
     links = None
     labelled = first.withColumn("component", F.col("ref"))
-    for end in (F.min, F.max):  # a hub at either end of each token that reaches over components
+    # A hub for each token that reaches over components: the set with the least of its own, then any.
+    for rank in ((F.col("n") - F.col("shared"), F.col("ref")), (F.xxhash64("ref"), F.col("ref"))):
         tops = labelled.groupBy("token").agg(
-            end(F.struct("ref", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")
+            F.min(F.struct(rank[0].alias("by"), rank[1].alias("ref"), "n", "shared", "component")).alias("hub"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
         ).where("low <> high")
         spokes = (
-            labelled.join(tops.select("token", "hub"), "token")
-            .where((F.col("component") != F.col("hub.component")) & _fits("n", "hub.n", percent))
-            .groupBy(F.col("ref").alias("a"), F.col("hub.ref").alias("b"))
+            labelled.join(tops.select("token", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("ref", "n", "shared", "component"))), "token")
+            .where((F.col("component") != F.col("hub_component")) & _fits("", "hub_", percent))
+            .groupBy(F.col("ref").alias("a"), F.col("hub_ref").alias("b"))
             .agg(F.count("*").alias("votes"))
             .groupBy("a")
             .agg(F.max_by("b", F.struct("votes", "b")).alias("b"))
@@ -273,20 +307,17 @@ def link_sets(candidates: DataFrame, sets: DataFrame, percent: int, orders: int)
         found = stored(_verified(spokes, sets, percent), "spokes")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        labelled = first.join(labels, first.ref == labels.node, "left").select(
-            "token", "ref", "n", F.coalesce("component", "ref").alias("component")
-        )
-    labels = stored(labels, "hub-components")
+        labelled = first.join(labels, first.ref == labels.node, "left").select(*columns, F.coalesce("component", "ref").alias("component"))
     everywhere = candidates.join(labels, candidates.ref == labels.node, "left").select(
-        "ord", "token", "ref", "n", F.coalesce("component", "ref").alias("component")
+        *columns, F.coalesce("component", "ref").alias("component")
     )
     apart = everywhere.groupBy("ord", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = stored(everywhere.join(apart.select("ord", "token"), ["ord", "token"], "left_semi"), "apart")
-    right = left.select("ord", "token", *(F.col(x).alias(f"other_{x}") for x in ("ref", "n", "component")))
+    right = left.select("ord", "token", *(F.col(x).alias(f"other_{x}") for x in ("ref", "n", "shared", "component")))
     pairs = [
         left.where(F.col("ord") == order)
         .join(right.where(F.col("ord") == order), ["ord", "token"])
-        .where((F.col("ref") < F.col("other_ref")) & (F.col("component") != F.col("other_component")) & _fits("n", "other_n", percent))
+        .where((F.col("ref") < F.col("other_ref")) & (F.col("component") != F.col("other_component")) & _fits("", "other_", percent))
         .select(F.col("ref").alias("a"), F.col("other_ref").alias("b"))
         .distinct()
         for order in range(orders)
@@ -334,12 +365,12 @@ def near_copies(
     )
     counted = (
         sets.select("ref", "tokens").mapInArrow(_deal(buckets, FREQUENT), _DEALT)
-        .repartition(buckets, "bucket").mapInArrow(_count_tokens(True), "ref long, shared long, tokens binary, counts binary")
-        .groupBy("ref").agg(F.sum("shared").alias("shared"), F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts"))
+        .repartition(buckets, "bucket").mapInArrow(_count_tokens(True, buckets), "bucket int, refs binary, tokens binary, counts binary")
+        .repartition(buckets, "bucket").mapInArrow(_by_set, "ref long, shared long, tokens binary, counts binary")
     )
     candidates = stored(
         sets.select("ref", "n").join(counted, "ref").where(F.col("shared") >= least).select("ref", "n", "tokens", "counts")
-        .mapInArrow(_index(percent, orders), "ord int, token long, ref long, n long"),
+        .mapInArrow(_index(percent, orders), "ord int, token long, ref long, n long, shared long"),
         "first-tokens",
     )
     links = link_sets(candidates, sets, percent, orders)

@@ -1,8 +1,9 @@
 """Licence scans of whole texts, with DataFrame functions and JVM learners only.
 
-Every paragraph (a line; long ones in overlapping windows of words) gets the probabilities of a
-multinomial logistic regression on hashed word one- and two-grams, trained here on licence notices in
-varied surroundings against paragraphs of the corpus. The probability from which a family is believed
+Every paragraph (a line; long ones in overlapping windows of words) is classified by a multinomial
+logistic regression on sparse word one- and two-grams, trained here on licence notices in varied
+surroundings against paragraphs of the corpus. A paragraph without a gram that speaks for some family
+more than for none can't be likelier a licence than not, so only the others are scored. The probability from which a family is believed
 is calibrated on held-out notices; what is licence-like below it is ``unknown``. A prediction is
 confirmed when the paragraph holds most two-grams of one of the family's notices.
 """
@@ -10,7 +11,7 @@ confirmed when the paragraph holds most two-grams of one of the family's notices
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,7 +22,6 @@ from chartloom.llm.common import stored, text_of
 WINDOW_WORDS, STRIDE_WORDS = 60, 30
 #: Documents and paragraphs that the learner gets from the corpus, at most.
 MOST_DOCUMENTS, MOST_PARAGRAPHS = 300, 1_500
-FEATURES = 1 << 16
 #: Share of believed held-out notices that must be right, and share of a notice's two-grams that confirms.
 PRECISION, CONFIRMING = 0.995, 0.7
 NONE, UNKNOWN = "none", "unknown"
@@ -90,78 +90,92 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     return lines.select("key", "paragraph", F.posexplode(windows).alias("window", "words")).where(F.size("words") > 0)
 
 
+def _inline(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few constant rows, made in the JVM."""
+    row = lambda values: F.struct(*(F.lit(v).alias(n) for v, n in zip(values, names)))
+    return spark.range(1).select(F.inline(F.array(*map(row, rows))))
+
+
 def _training_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``family, words, held_out``: notices in surroundings and in corpus words, and corpus paragraphs."""
+    """``family, words, held_out, notice``: notices in surroundings and in corpus words, and corpus paragraphs."""
     some = docs.select("key").where("key is not null").distinct().orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(MOST_DOCUMENTS)
     taken = docs.join(F.broadcast(some), "key", "left_semi")
-    known = [word for word in ("license", "licensed", "licence", "copyright", "reserved", "redistribution", "creative", "gnu", "permission")]
+    known = ("license", "licensed", "licence", "copyright", "reserved", "redistribution", "creative", "gnu", "permission")
+    text = F.array_join("words", " ")
     corpus = (
         paragraphs(taken)
         .where(~F.arrays_overlap("words", F.array(*(F.lit(w) for w in known))))
-        .select("words").distinct().orderBy(F.xxhash64(F.array_join("words", " ")), F.array_join("words", " ")).limit(MOST_PARAGRAPHS)
+        .select("words").distinct().orderBy(F.xxhash64(text), text).limit(MOST_PARAGRAPHS)
     )
     corpus = stored(corpus.coalesce(1), "licence-corpus")
-    notices = spark.createDataFrame(
-        [(family, i, j, form.format(text)) for family, texts in NOTICES.items() for i, text in enumerate(texts) for j, form in enumerate(SURROUNDINGS)],
-        "family string, i int, j int, text string",
-    ).select("family", words_of(F.col("text")).alias("words"), (F.col("j") % 3 == 1).alias("held_out"))
-    lookalikes = spark.createDataFrame([(text,) for text in LOOKALIKES], "text string").select(
-        F.lit(NONE).alias("family"), words_of(F.col("text")).alias("words"), F.lit(False).alias("held_out")
+    forms = [
+        (family, j % 3 == 1, form.format(words))
+        for family, texts in NOTICES.items() for words in texts for j, form in enumerate(SURROUNDINGS)
+    ]
+    notices = _inline(spark, forms, ["family", "held_out", "text"]).select("family", words_of(F.col("text")).alias("words"), "held_out")
+    lookalikes = _inline(spark, [(NONE, False, words) for words in LOOKALIKES], ["family", "held_out", "text"]).select(
+        "family", words_of(F.col("text")).alias("words"), "held_out"
     )
-    numbered = corpus.withColumn("at", F.pmod(F.xxhash64(F.array_join("words", " ")), F.lit(60)))
+    around = corpus.groupBy(F.pmod(F.xxhash64(text), F.lit(60)).alias("at")).agg(F.min("words").alias("around"))
     placed = notices.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn(
-        "at", F.pmod(F.xxhash64("family", F.array_join("words", " "), "slot"), F.lit(60))
+        "at", F.pmod(F.xxhash64("family", text, "slot"), F.lit(60))
     )
-    around = numbered.groupBy("at").agg(F.min("words").alias("around"))
     embedded = placed.join(F.broadcast(around), "at").select(
         "family",
         F.when(F.col("slot") % 2 == 0, F.concat(F.slice("around", 1, 12), "words")).otherwise(F.concat("words", F.slice("around", 1, 20))).alias("words"),
         (F.col("slot") == 5).alias("held_out"),
     )
-    ordinary = corpus.select(F.lit(NONE).alias("family"), "words", (F.pmod(F.xxhash64(F.array_join("words", " ")), F.lit(5)) == 0).alias("held_out"))
-    return notices.unionByName(lookalikes).unionByName(embedded).unionByName(ordinary)
-
-
-def _featured(rows: DataFrame) -> DataFrame:
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(
-        rows.withColumn("grams", grams_of(F.col("words")))
-    )
-
-
-def _predicted(rows: DataFrame, model: LogisticRegressionModel, families: list[str]) -> DataFrame:
-    """Adds ``family`` (the likeliest but none, or none) and its ``probability``."""
-    shares = vector_to_array("probability")
-    scored = model.transform(_featured(rows)).withColumn("shares", shares)
-    best = F.array_max(F.transform(F.col("shares"), lambda p, i: F.struct(p.alias("p"), (-i).alias("minus"))))
-    return (
-        scored.withColumn("best", best)
-        .withColumn("family", F.element_at(F.array(*(F.lit(f) for f in families)), (1 - F.col("best.minus")).cast("int")))
-        .withColumn("probability", F.col("best.p"))
-    )
-
-
-def train(docs: DataFrame) -> tuple[LogisticRegressionModel, list[str], float]:
-    """Model, its classes in order, and the probability from which a family is believed.
-
-    That is the smallest one at which at least ``PRECISION`` of the held-out rows predicted to be a
-    licence with it or more are right.
-    """
+    ordinary = corpus.select(F.lit(NONE).alias("family"), "words", (F.pmod(F.xxhash64(text), F.lit(5)) == 0).alias("held_out"))
+    plain = notices.unionByName(lookalikes).withColumn("notice", F.lit(True))
+    return plain.unionByName(embedded.unionByName(ordinary).withColumn("notice", F.lit(False)))
+
+
+class LicenceModel:
+    """Vocabulary of notices, regression over it, believed probability and the grams that speak for a family."""
+
+    def __init__(self, counts: CountVectorizerModel, regression: LogisticRegressionModel, families: list[str]):
+        self.counts, self.regression, self.families, self.believed = counts, regression, families, 0.5
+        weights, biases = regression.coefficientMatrix.toArray(), regression.interceptVector.toArray()
+        none = families.index(NONE)
+        if (biases > biases[none]).any():
+            raise ValueError("a paragraph without any known gram would be taken for a licence")
+        self.speaking = [gram for gram, above in zip(counts.vocabulary, (weights > weights[none]).any(axis=0)) if above]
+
+    def predicted(self, rows: DataFrame) -> DataFrame:
+        """Adds ``family`` (the likeliest, or none) and its ``probability`` to rows with ``grams``."""
+        scored = self.regression.transform(self.counts.transform(rows)).withColumn("shares", vector_to_array("probability"))
+        scored = scored.drop("features", "probability")
+        best = F.array_max(F.transform(F.col("shares"), lambda p, i: F.struct(p.alias("p"), (-i).alias("minus"))))
+        names = F.array(*(F.lit(f) for f in self.families))
+        return scored.withColumn("best", best).select(
+            *(c for c in scored.columns if c != "shares"),
+            F.element_at(names, (1 - F.col("best.minus")).cast("int")).alias("family"),
+            F.col("best.p").alias("probability"),
+        )
+
+
+def train(docs: DataFrame) -> LicenceModel:
+    """The model, and the probability from which a family is believed: the smallest one at which at least
+    ``PRECISION`` of the held-out rows predicted to be a licence with it or more are right."""
     families = [NONE, *sorted(NOTICES)]
-    rows = _training_rows(docs.sparkSession, docs).withColumn(
+    rows = _training_rows(docs.sparkSession, docs).withColumn("grams", grams_of(F.col("words"))).withColumn(
         "label", (F.array_position(F.array(*(F.lit(f) for f in families)), F.col("family")) - 1).cast("double")
     )
-    rows = stored(rows.coalesce(4), "licence-training")
-    learner = LogisticRegression(family="multinomial", regParam=2e-4, maxIter=60, featuresCol="features", labelCol="label")
-    model = learner.fit(_featured(rows.where("not held_out")))
-    model.setPredictionCol("").setRawPredictionCol("")
-    tried = _predicted(rows.where("held_out").withColumnRenamed("family", "truth"), model, families)
-    tried = [(r[0], r[1]) for r in tried.where(F.col("family") != NONE).select("probability", F.col("family") == F.col("truth")).collect()]
+    rows = stored(rows.coalesce(2), "licence-training")
+    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=50_000).fit(rows.where("notice"))
+    learner = LogisticRegression(family="multinomial", regParam=2e-3, elasticNetParam=0.2, maxIter=40)
+    regression = learner.fit(counts.transform(rows.where("not held_out")))
+    regression.setPredictionCol("").setRawPredictionCol("")
+    model = LicenceModel(counts, regression, families)
+    tried = model.predicted(rows.where("held_out").select(F.col("family").alias("truth"), "grams")).where(F.col("family") != NONE)
     believed, right = 0.99, 0
-    for n, (probability, is_right) in enumerate(sorted(tried, reverse=True), 1):  # a few hundred notices
+    outcomes = tried.select("probability", F.col("family") == F.col("truth")).collect()  # a few hundred notices
+    for n, (probability, is_right) in enumerate(sorted(map(tuple, outcomes), reverse=True), 1):
         right += is_right
         if right >= PRECISION * n:
             believed = min(believed, probability)
-    return model, families, max(believed, 0.5)
+    model.believed = max(believed, 0.5)
+    return model
 
 
 def scan_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -174,21 +188,24 @@ def scan_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     not looked at.
     """
     rows = docs.select(F.col(id_column).alias("key"), text_of(text_column).alias("text"))
-    model, families, believed = train(rows)
-    found = _predicted(paragraphs(rows), model, families).where(F.col("family") != NONE)
+    model = train(rows)
+    speaking = F.array(*(F.lit(gram) for gram in model.speaking))
+    worth = paragraphs(rows).where(F.arrays_overlap(grams_of(F.col("words")), speaking))
+    worth = stored(worth.select("*", grams_of(F.col("words")).alias("grams")), "licence-paragraphs")
+    found = model.predicted(worth).where(F.col("family") != NONE)
     own = lambda text: bind(words_of(F.lit(text)), lambda w: F.array_except(grams_of(w), w))
     pairs = F.array_except("grams", "words")
     share = F.lit(0.0)
     for family, texts in NOTICES.items():
         held = F.greatest(*(F.size(F.array_intersect(pairs, own(t))) / F.size(own(t)) for t in texts), F.lit(0.0))
         share = F.when(F.col("family") == family, held).otherwise(share)
-    found = found.withColumn("template_share", share)
+    found = stored(found.withColumn("template_share", share), "licences")
     confirmed = F.col("template_share") >= CONFIRMING
     return found.select(
         F.col("key").alias(id_column),
         "paragraph",
         "window",
-        F.when(confirmed | (F.col("probability") >= believed), F.col("family")).otherwise(UNKNOWN).alias("family"),
+        F.when(confirmed | (F.col("probability") >= model.believed), F.col("family")).otherwise(UNKNOWN).alias("family"),
         F.round("probability", 6).alias("probability"),
         F.round("template_share", 6).alias("template_share"),
         confirmed.alias("confirmed"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chartloom.functions.text import bind
-from chartloom.llm.common import text_of
+from chartloom.llm.common import stored, text_of
 
 GRAM = 5
 #: A power of two.
@@ -110,7 +110,8 @@ def with_next_document(docs: DataFrame) -> DataFrame:
     outer = Window.orderBy("many")
     whole = Window.orderBy("many").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bounds = bounds.select("many", F.coalesce(F.lead("first").over(outer), F.first("first").over(whole)).alias("outside"))
-    heads = runs.join(bounds, "many").select("key", F.coalesce("above", "outside").alias("to"))
+    # Stored, so that its size is known before the join: Spark broadcasts it up to its own limit only.
+    heads = stored(runs.join(bounds, "many").select("key", F.coalesce("above", "outside").alias("to")), "run-tops")
     tops = keyed.alias("d").join(heads.alias("h"), F.col("d.key").eqNullSafe(F.col("h.key"))).select(
         "d.key", "text", F.col("to").alias("run"), F.lit(True).alias("is_top")
     )

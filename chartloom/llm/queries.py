@@ -12,6 +12,7 @@ from chartloom.llm.jaccard_join import near_copies
 from chartloom.llm.language_id import identify_languages
 from chartloom.llm.license_scan import scan_licences
 from chartloom.llm.packing import pack_documents
+from chartloom.llm.substring_dedup import repeated_passages
 from chartloom.llm.token_counts import count_tokens
 from chartloom.llm.url_filter import judge_urls
 from chartloom.session import read_table
@@ -91,3 +92,8 @@ def op3_html_extraction(spark, sf_dir):
 @_query
 def op6_license_scans(spark, sf_dir):
     return scan_licences(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_substring_dedup(spark, sf_dir):
+    return repeated_passages(read_table(spark, sf_dir, "documents"))

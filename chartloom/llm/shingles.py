@@ -33,9 +33,9 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
         return words
     if n < size:
         return mixed(np.array([np.bitwise_xor.reduce(mixed(words + np.arange(1, n + 1, dtype=np.uint64)))], np.uint64), n)
-    total = words[: n - size + 1] * MULTIPLIERS[0]
+    total = words[: n - size + 1] * MULTIPLIERS[:1]
     for j in range(1, size):
-        total = total + words[j : n - size + 1 + j] * (MULTIPLIERS[j % 5] * np.uint64(2 * (j // 5) + 1))
+        total = total + words[j : n - size + 1 + j] * (MULTIPLIERS[j % 5 : j % 5 + 1] * np.uint64(2 * (j // 5) + 1))
     return mixed(total)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chartloom.llm.decontaminate import find_leaks
 from chartloom.llm.fingerprints import fingerprint_edits
 from chartloom.llm.html_text import extract_main_text
 from chartloom.llm.jaccard_join import near_copies
@@ -97,3 +98,8 @@ def op6_license_scans(spark, sf_dir):
 @_query
 def op1_substring_dedup(spark, sf_dir):
     return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_benchmark_decontamination(spark, sf_dir):
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

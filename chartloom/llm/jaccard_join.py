@@ -10,7 +10,8 @@
    equal counts by another mixing of the hash in each order. A link must share a token under all of them.
 4. Sets that share a first token are verified against one hub of the token, which joins groups of
    near copies by as many links as they have members. Only tokens that then still reach over several
-   components give pairs; pairs found under every order are verified. So no group is expanded into its
+   components give pairs, and only of sets that can still link when it is the first token they share;
+   pairs found under every order are verified. So no group is expanded into its
    pairs, and yet two linked sets are always in one component.
 """
 
@@ -34,7 +35,7 @@ PERCENT = 80
 ASKED = 10
 ORDERS = 3
 #: Tokens that a task holds before it passes them on.
-MOST_HELD = 2_000_000
+MOST_HELD = 1_000_000
 #: Sets of one batch that share a token, from which it counts as frequent everywhere.
 FREQUENT = 64
 #: Ids that may be broadcast (8 bytes each); more of them are joined by a shuffle.
@@ -235,7 +236,7 @@ def _index(percent: int, orders: int):
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for ref, n, packed, counts in zip(*(batch.column(x).to_pylist() for x in ("ref", "n", "tokens", "counts"))):
                 tokens, rarity = np.frombuffer(packed, np.uint64), np.frombuffer(counts, "<u4")
                 most = n - least_shared(n, percent) + 1 - (n - len(tokens))  # tokens of no other set come first
@@ -248,9 +249,10 @@ def _index(percent: int, orders: int):
                     out[2].append(np.full(len(chosen), ref, np.int64))
                     out[3].append(np.full(len(chosen), n, np.int64))
                     out[4].append(np.full(len(chosen), len(tokens), np.int64))
+                    out[5].append(np.arange(len(chosen)) + (n - len(tokens)))
             if out[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in out], ["ord", "token", "ref", "n", "shared"]
+                    [pa.array(np.concatenate(x)) for x in out], ["ord", "token", "ref", "n", "shared", "place"]
                 )
 
     return run
@@ -277,27 +279,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _fits(a: str, b: str, percent: int):
-    """Whether two sets of these sizes can link: what they share is at most what either shares with any
-    other set, and the rest of both is in their union."""
-    most = F.least(f"{a}shared", f"{b}shared")
+    """Whether two sets can link of which this token is the first that they share: they share at most
+    what either shares with any other set, and what is left of both from the token's place on; the rest of
+    both is in their union."""
+    behind = F.least(F.col(f"{a}n") - F.col(f"{a}place"), F.col(f"{b}n") - F.col(f"{b}place"))
+    most = F.least(f"{a}shared", f"{b}shared", behind)
     return 100 * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n") - most)
 
 
 def link_sets(candidates: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Verified links ``a, b`` that join all linked sets, from an index ``ord, token, ref, n, shared``."""
-    columns = ("ord", "token", "ref", "n", "shared")
+    """Verified links ``a, b`` that join all linked sets, from an index ``ord, token, ref, n, shared, place``."""
+    columns = ("ord", "token", "ref", "n", "shared", "place")
     first = candidates.where("ord = 0")
     links = None
     labelled = first.withColumn("component", F.col("ref"))
     # A hub for each token that reaches over components: the set with the least of its own, then any.
     for rank in ((F.col("n") - F.col("shared"), F.col("ref")), (F.xxhash64("ref"), F.col("ref"))):
         tops = labelled.groupBy("token").agg(
-            F.min(F.struct(rank[0].alias("by"), rank[1].alias("ref"), "n", "shared", "component")).alias("hub"),
+            F.min(F.struct(rank[0].alias("by"), rank[1].alias("ref"), "n", "shared", "place", "component")).alias("hub"),
             F.min("component").alias("low"),
             F.max("component").alias("high"),
         ).where("low <> high")
         spokes = (
-            labelled.join(tops.select("token", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("ref", "n", "shared", "component"))), "token")
+            labelled.join(tops.select("token", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("ref", "n", "shared", "place", "component"))), "token")
             .where((F.col("component") != F.col("hub_component")) & _fits("", "hub_", percent))
             .groupBy(F.col("ref").alias("a"), F.col("hub_ref").alias("b"))
             .agg(F.count("*").alias("votes"))
@@ -313,7 +317,7 @@ def link_sets(candidates: DataFrame, sets: DataFrame, percent: int, orders: int)
     )
     apart = everywhere.groupBy("ord", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     left = stored(everywhere.join(apart.select("ord", "token"), ["ord", "token"], "left_semi"), "apart")
-    right = left.select("ord", "token", *(F.col(x).alias(f"other_{x}") for x in ("ref", "n", "shared", "component")))
+    right = left.select("ord", "token", *(F.col(x).alias(f"other_{x}") for x in ("ref", "n", "shared", "place", "component")))
     pairs = [
         left.where(F.col("ord") == order)
         .join(right.where(F.col("ord") == order), ["ord", "token"])
@@ -370,7 +374,7 @@ def near_copies(
     )
     candidates = stored(
         sets.select("ref", "n").join(counted, "ref").where(F.col("shared") >= least).select("ref", "n", "tokens", "counts")
-        .mapInArrow(_index(percent, orders), "ord int, token long, ref long, n long, shared long"),
+        .mapInArrow(_index(percent, orders), "ord int, token long, ref long, n long, shared long, place long"),
         "first-tokens",
     )
     links = link_sets(candidates, sets, percent, orders)

@@ -163,7 +163,7 @@ def train(docs: DataFrame) -> LicenceModel:
     )
     rows = stored(rows.coalesce(2), "licence-training")
     counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=50_000).fit(rows.where("notice"))
-    learner = LogisticRegression(family="multinomial", regParam=2e-3, elasticNetParam=0.2, maxIter=40)
+    learner = LogisticRegression(family="multinomial", regParam=2e-3, elasticNetParam=1.0, maxIter=60)
     regression = learner.fit(counts.transform(rows.where("not held_out")))
     regression.setPredictionCol("").setRawPredictionCol("")
     model = LicenceModel(counts, regression, families)
@@ -191,8 +191,8 @@ def scan_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     model = train(rows)
     speaking = F.array(*(F.lit(gram) for gram in model.speaking))
     worth = paragraphs(rows).where(F.arrays_overlap(grams_of(F.col("words")), speaking))
-    worth = stored(worth.select("*", grams_of(F.col("words")).alias("grams")), "licence-paragraphs")
-    found = model.predicted(worth).where(F.col("family") != NONE)
+    worth = stored(worth, "licence-paragraphs")
+    found = model.predicted(worth.withColumn("grams", grams_of(F.col("words")))).where(F.col("family") != NONE)
     own = lambda text: bind(words_of(F.lit(text)), lambda w: F.array_except(grams_of(w), w))
     pairs = F.array_except("grams", "words")
     share = F.lit(0.0)

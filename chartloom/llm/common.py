@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chartloom.session import scratch_folder
@@ -52,5 +54,23 @@ def slices(texts: list[str], most_chars: int = 2_000_000) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def parts_of(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most_bytes`` of a text or binary column, so that only a slice at a
+    time becomes Python objects."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def binary_views(column: pa.Array, kind) -> Iterator[np.ndarray]:
+    """Each value of a binary column without nulls as an array over the column's own memory."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    for start, end in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield np.frombuffer(raw[start:end].tobytes(), kind) if start % 8 else raw[start:end].view(kind)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from chartloom.llm.common import slices, stored, text_of
+from chartloom.llm.common import binary_views, parts_of, stored, text_of
 from chartloom.llm.components import components
 from chartloom.llm.shingles import mixed, shingle_set
 
@@ -35,7 +35,7 @@ PERCENT = 80
 ASKED = 10
 ORDERS = 3
 #: Tokens that a task holds before it passes them on.
-MOST_HELD = 1_000_000
+MOST_HELD = 400_000
 #: Sets of one batch that share a token, from which it counts as frequent everywhere.
 FREQUENT = 64
 #: Ids that may be broadcast (8 bytes each); more of them are joined by a shuffle.
@@ -60,10 +60,9 @@ def _sets(with_sets: bool):
 
     def run(batches):
         for batch in batches:
-            keys, texts = batch.column("key"), batch.column("text").to_pylist()
-            for start, end in slices(texts):
+            for part in parts_of(batch, "text"):
                 sizes, digests, refs, tokens = [], [], [], []
-                for text in texts[start:end]:
+                for text in part.column("text").to_pylist():
                     own = shingle_set(text)
                     raw, n = own.tobytes(), len(own)
                     sizes.append(n)
@@ -72,7 +71,7 @@ def _sets(with_sets: bool):
                     tokens.append(raw if with_sets else own[: n - least_shared(n) + _asked(n)].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.slice(start, end - start),
+                        part.column("key"),
                         pa.array(sizes, pa.int64()),
                         pa.array(digests),
                         pa.array(signed(np.array(refs, np.uint64))),
@@ -145,7 +144,7 @@ def _deal(buckets: int, from_count: int):
     def run(batches: Iterator[pa.RecordBatch]):
         held, size = [], 0
         for batch in batches:
-            for ref, raw in zip(batch.column("ref").to_pylist(), batch.column("tokens").to_pylist()):
+            for ref, raw in ((r, b) for p in parts_of(batch, "tokens") for r, b in zip(p.column("ref").to_pylist(), p.column("tokens").to_pylist())):
                 held.append((ref, raw))
                 size += len(raw) // 8
                 if size > MOST_HELD:
@@ -262,8 +261,7 @@ def _verify(percent: int):
     def run(batches):
         for batch in batches:
             linked = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+            for a, b in zip(binary_views(batch.column("left"), np.uint64), binary_views(batch.column("right"), np.uint64)):
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 linked.append(100 * both >= percent * (len(a) + len(b) - both))
             mask = pa.array(linked, pa.bool_())

@@ -1,8 +1,18 @@
-"""Expected markdown of the pages, as the same rules written in SQL."""
+"""Expected markdown of the pages, from the tags and references that the pages table is made of.
+
+Nothing here comes from the code under test: the tags, their markdown and the references are written
+out again for the pages at hand.
+"""
 
 from __future__ import annotations
 
-from chartloom.functions.html import CLOSING, ENTITIES, LINK, OPENING, REMOVED
+BLANK_LINE = "\n\n"
+BLOCKS = ("head", "title", "body", "nav", "ul", "div", "article", "p", "footer")
+OPENING = {**{tag: BLANK_LINE for tag in BLOCKS}, "h1": BLANK_LINE + "# ", "br": "  \n", "b": "**", "a": "[", "li": "\n* "}
+CLOSING = {**{tag: BLANK_LINE for tag in BLOCKS}, "h1": BLANK_LINE, "b": "**"}
+REFERENCES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+REMOVED = ["(?s)<!--.*?-->", "(?s)<script>.*?</script>", "(?s)<style>.*?</style>"]
+LINK = '<a href="([^"]*)">([^<]*)</a>'
 
 
 def _literal(text: str) -> str:
@@ -22,7 +32,7 @@ def _html_sql() -> str:
     link = LINK.replace("'", "''")
     text = f"""regexp_replace({text}, '{link}', '<a>\\2</a "\\1">', 'g')"""
     final = "joined"
-    for reference, char in ENTITIES:
+    for reference, char in REFERENCES:
         final = f"replace({final}, '{reference}', {_literal(char.replace(chr(39), chr(39)))})"
     final = f"regexp_replace({final}, '\\n +', chr(10), 'g')"
     final = f"regexp_replace({final}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
@@ -57,3 +67,10 @@ SELECT page_id, {final} AS markdown FROM whole
 
 
 HTML_SQL = _html_sql()
+
+#: Every word of a text that was wrapped into a page, with a lone ``<`` between them.
+ROUND_TRIP_SQL = """
+SELECT doc_id, len(words) AS n_words, md5(array_to_string(words, ' ')) AS words_md5 FROM (
+  SELECT doc_id, list_filter(string_split_regex(replace(text, ' ', ' < '), '[ \\t\\r\\n]+'), lambda w: w <> '') AS words
+  FROM documents)
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chartloom.catalog import message_sql as m
-from chartloom.catalog.html_sql import HTML_SQL
+from chartloom.catalog.html_sql import HTML_SQL, ROUND_TRIP_SQL
 from chartloom.catalog.queries import (
     CHUNK_OVERLAP, CHUNK_SIZE, CODES_PER_ALLERGY, NEIGHBORS, PATIENT, WINDOW,
 )
@@ -21,14 +21,14 @@ WITH files AS (
 ), parsed AS (
   SELECT 'd' || doc_id || ext AS name,
          CASE WHEN ext IN ('.TXT', '.xyz')
-              THEN 'An error occurred: no parser for dbfs:/Volumes/c/s/d' || doc_id || ext
+              THEN 'An error occurred: no parser for file:/in/d' || doc_id || ext
               WHEN broken THEN 'An error occurred: the bytes are not UTF-8 text'
               ELSE 'SUCCESS' END AS parser_status,
          CASE WHEN blank THEN '' ELSE trim(text, {_BLANKS}) END AS body
   FROM files
 ), docs AS (
   SELECT CASE WHEN parser_status = 'SUCCESS' THEN body ELSE '' END AS content, parser_status,
-         CASE WHEN parser_status = 'SUCCESS' THEN '/Volumes/c/s/' ELSE 'dbfs:/Volumes/c/s/' END
+         CASE WHEN parser_status = 'SUCCESS' THEN '/in/' ELSE 'file:/in/' END
            || name AS doc_uri,
          CASE WHEN parser_status = 'SUCCESS' THEN '2024-01-01 00:00:00' END AS last_modified
   FROM parsed
@@ -168,10 +168,8 @@ def all_oracles() -> dict[str, str]:
                    || 'PID|1||' || s_suppkey || '||' || s_name || chr(13)
                    || 'PV1|1|N|' || s_nationkey AS value FROM supplier""",
         "stream_assemble_upsert": m.ASSEMBLE_SQL,
-        "stream_index_sync": _SNAPSHOTS + f"""
-            SELECT chunk_id, length(content_chunked) AS n_chars, {DIMENSIONS} AS dimensions
-            FROM (SELECT chunk_id, content_chunked FROM old UNION
-                  SELECT chunk_id, content_chunked FROM new)""",
+        "stream_index_sync": _SNAPSHOTS + "," + _weights_cte("w", "new", "chunk_id", "content_chunked") + """
+            SELECT chunk_id, slot, round(weight, 5) AS weight FROM w""",
         "doc_parse_text": _FILES + "SELECT * FROM docs",
         "doc_success_filter": _FILES + """
             SELECT doc_uri, length(content) AS n_chars FROM docs WHERE parser_status = 'SUCCESS'""",
@@ -182,6 +180,7 @@ def all_oracles() -> dict[str, str]:
             UNION ALL SELECT '.html', true, count(*) FROM pages
             UNION ALL SELECT '.json', true, count(*) FROM events""",
         "html_markdown": HTML_SQL,
+        "html_round_trip": ROUND_TRIP_SQL,
         "json_tags": """
             SELECT event_id, '<k>' || regexp_extract(props, '[0-9]+') || '</k>' AS tags FROM events""",
         "parse_quality": _FILES + """
@@ -195,6 +194,12 @@ def all_oracles() -> dict[str, str]:
                    round_even(empty / documents, 2) * 100 AS empty_percent,
                    parsed || ' / ' || documents AS summary FROM counts""",
         "chunk_fixed": _CHUNKS + "SELECT chunk_id, content_chunked, doc_id FROM d_chunks",
+        "chunk_recursive_words": """
+            SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM (
+              SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS word FROM documents)
+            WHERE word <> '' GROUP BY doc_id""",
+        "chunk_recursive_sizes": """
+            SELECT count(*) AS documents, 0::BIGINT AS oversize FROM documents WHERE text <> ''""",
         "chunk_oversize": _CHUNKS + f"""
             SELECT chunk_id, doc_id, {step_words} AS tokens FROM d_chunks
             WHERE {step_words} > {WINDOW}""",
@@ -221,6 +226,8 @@ def all_oracles() -> dict[str, str]:
             WHERE chunk_id IN (SELECT chunk_id FROM new)""",
         "vector_topk": _neighbors_sql("true"),
         "vector_topk_filtered": _neighbors_sql("b.label >= 5"),
+        "vector_topk_approx_recall": """
+            SELECT count(*) AS queries, true AS recall_reached, true AS scores_exact FROM embeddings""",
         "embed_hash": "WITH " + _weights_cte("w", "documents", "doc_id", "text") + """
             SELECT doc_id, slot, round(weight, 5) AS weight FROM w""",
         "code_allergies": _code_allergies_sql(),

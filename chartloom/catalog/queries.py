@@ -18,7 +18,7 @@ from chartloom.operators import quality, similarity
 from chartloom.schemas import MESSAGE_KEYS, SEGMENT_FIELD_NUMBERS
 from chartloom.session import read_table, scratch_folder
 from chartloom.sinks.tables import overwrite_folder
-from chartloom.sources.files import file_listing, line_files
+from chartloom.sources.files import line_files
 from chartloom.sources.tables import stream_folder
 from chartloom.streaming import hops
 
@@ -264,18 +264,19 @@ def stream_assemble_upsert(spark, sf_dir):
 
 @_query
 def stream_index_sync(spark, sf_dir):
-    """Two deliveries of chunks reach the index; each key is embedded once."""
+    """Two deliveries reach the index as change rows; keys that the second one lacks leave it."""
     root = scratch_folder(spark, "index")
-    for version in (1, 2):
-        _snapshot_chunks(spark, sf_dir, version).write.mode("append").parquet(f"{root}/chunks")
-        schema = spark.read.parquet(f"{root}/chunks").schema
+    old, new = _snapshot(spark, sf_dir, 1), _snapshot(spark, sf_dir, 2)
+    for delivery in (changes.diff_snapshots(old.limit(0), old), changes.diff_snapshots(old, new)):
+        delivery.write.mode("append").parquet(f"{root}/changes")
+        schema = spark.read.parquet(f"{root}/changes").schema
         hops.sync_index_stream(
-            stream_folder(spark, f"{root}/chunks", schema), f"{root}/index",
-            f"{root}/checkpoint", with_embedding,
+            stream_folder(spark, f"{root}/changes", schema), f"{root}/index",
+            f"{root}/checkpoint", lambda rows: with_embedding(rows, token_hash=md5_number),
         )
-    return hops.read_index(spark, f"{root}/index").select(
-        "chunk_id", F.length("content_chunked").alias("n_chars"),
-        F.size("embedding").alias("dimensions"),
+    weights = F.posexplode("embedding").alias("slot", "weight")
+    return hops.read_index(spark, f"{root}/index").select("chunk_id", weights).filter(F.col("weight") != 0).select(
+        "chunk_id", F.col("slot").cast("bigint").alias("slot"), F.round(F.col("weight").cast("double"), 5).alias("weight")
     )
 
 
@@ -319,6 +320,19 @@ def html_markdown(spark, sf_dir):
     )
 
 
+@_query
+def html_round_trip(spark, sf_dir):
+    """Texts wrapped into pages, a lone ``<`` between their words: every word has to come back."""
+    docs = documents.spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    body = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit(" "), F.lit(" < "))
+    page = F.concat(F.lit("<html><BODY><OL><LI>"), body, F.lit("</LI></OL></BODY></html>"))
+    shown = F.regexp_replace(F.replace(html_to_markdown(page), F.lit("\\"), F.lit("")), r"^1\. ", "")
+    words = F.filter(F.split(shown, r"[ \t\r\n]+"), lambda word: word != "")
+    return docs.select("doc_id", words.alias("words")).select(
+        "doc_id", F.size("words").cast("bigint").alias("n_words"), F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5")
+    )
+
+
 @_query
 def json_tags(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select(
@@ -332,11 +346,6 @@ def parse_quality(spark, sf_dir):
     return quality.quality_summary(docs)
 
 
-@_query
-def table_file_listing(spark, sf_dir):
-    return file_listing(spark, sf_dir, name_glob="*.parquet").select("file_name", "length")
-
-
 # Chunks and changes
 
 
@@ -374,6 +383,26 @@ def chunk_recursive(spark, sf_dir):
     return chunks.apply_chunker(_documents(spark, sf_dir), chunker)
 
 
+@_query
+def chunk_recursive_words(spark, sf_dir):
+    """Without overlap the chunks of a document hold its words, each once."""
+    cut = chunks.apply_chunker(_documents(spark, sf_dir), recursive_chunker(RECURSIVE_SIZE))
+    words = F.explode(F.filter(F.split("content_chunked", r"\s+"), lambda word: word != "")).alias("word")
+    return cut.select("doc_id", words).groupBy("doc_id").agg(
+        F.count("*").alias("n_words"), F.count_distinct("word").alias("n_distinct")
+    )
+
+
+@_query
+def chunk_recursive_sizes(spark, sf_dir):
+    """Documents that have chunks, and how many chunks are above the size."""
+    cut = chunks.apply_chunker(_documents(spark, sf_dir), recursive_chunker(RECURSIVE_SIZE, RECURSIVE_OVERLAP))
+    above = F.size(F.split("content_chunked", r"\s+")) > RECURSIVE_SIZE
+    return cut.groupBy().agg(
+        F.count_distinct("doc_id").alias("documents"), F.coalesce(F.sum(above.cast("bigint")), F.lit(0)).alias("oversize")
+    )
+
+
 @_query
 def chunk_oversize(spark, sf_dir):
     return chunks.oversize_chunks(_chunks(spark, sf_dir), WINDOW).select(
@@ -453,6 +482,22 @@ def vector_topk_approx(spark, sf_dir):
     return _neighbors(similarity.topk_approximate, vectors, vectors)
 
 
+@_query
+def vector_topk_approx_recall(spark, sf_dir):
+    """Of the approximate search with its own parameters: queries with all their neighbors, and whether
+    at least 0.9 of the exact neighbors are among them."""
+    vectors = _vectors(spark, sf_dir)
+    near = _neighbors(similarity.topk_approximate, vectors, vectors)
+    exact = _neighbors(similarity.topk_similar, vectors, vectors)
+    found = near.select("vec_id", "near_vec_id", F.col("score").alias("near_score"))
+    both = exact.join(found, ["vec_id", "near_vec_id"], "left")
+    return both.agg(
+        F.count_distinct("vec_id").alias("queries"),
+        (F.count("near_score") / F.count("*") >= 0.9).alias("recall_reached"),
+        F.coalesce(F.max(F.abs(F.col("near_score") - F.col("score"))) < 1e-9, F.lit(True)).alias("scores_exact"),
+    )
+
+
 @_query
 def embed_hash(spark, sf_dir):
     """Weights of the hashed embedding of every document, one row per nonzero slot."""

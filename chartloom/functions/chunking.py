@@ -68,16 +68,26 @@ def word_count(text: str) -> int:
     return len(text.split())
 
 
+# Characters of an unbroken run that count as one word.
+RUN_CHARS = 32
+
+
+def word_or_run_count(text: str) -> int:
+    """Words, long ones once for each ``RUN_CHARS``: a run without blanks has a size too."""
+    return sum(max(1, -(-len(word) // RUN_CHARS)) for word in text.split())
+
+
 def recursive_chunker(
     size: int = DEFAULT_SIZE,
     overlap: int = 0,
-    length: Callable[[str], int] = word_count,
+    length: Callable[[str], int] = word_or_run_count,
     separators: tuple[str, ...] = SEPARATORS,
 ) -> Callable[[str], list[str]]:
     """A function from text to chunks of at most ``size``, cut at the coarsest separator that works.
 
     Neighboring pieces are packed up to ``size``; a chunk repeats at most ``overlap`` from the end
-    of the one before. ``length`` measures text, in words unless a tokenizer is plugged in.
+    of the one before. ``length`` measures text, in words and parts of long ones
+    unless a tokenizer is plugged in.
     """
     check_chunk_sizes(size, overlap)
 

@@ -8,40 +8,38 @@ tag needs (the link target) and running numbers are moved into the tags first.
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
 from chartloom.functions.text import bind
 
-# Named character references and what they stand for; the ampersand comes last.
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&bull;", "•"), ("&euro;", "€"), ("&deg;", "°"), ("&amp;", "&"),
-]
+# Named character references with their semicolon, from the standard library's table.
+REFERENCES = {name: text for name, text in html5.items() if name.endswith(";")}
 
 # Markdown sign of each tag; paragraphs and other blocks take a blank line.
 BLOCK = "\n\n"
 BLOCK_TAGS = [
     "p", "div", "article", "section", "main", "header", "footer", "nav", "ul", "ol", "table",
-    "blockquote", "body", "head", "title", "tr", "aside",
+    "body", "head", "title", "tr", "aside",
 ]
 OPENING = {
     **{tag: BLOCK for tag in BLOCK_TAGS},
     **{f"h{n}": BLOCK + "#" * n + " " for n in range(1, 7)},
     "br": "  \n", "hr": BLOCK + "---" + BLOCK, "b": "**", "strong": "**", "i": "*", "em": "*",
     "a": "[", "li": "\n* ", "code": "`", "pre": BLOCK + "```\n",
+    "td": "| ", "th": "| ", "q": '"', "blockquote": BLOCK + "> ",
 }
 CLOSING = {
     **{tag: BLOCK for tag in BLOCK_TAGS},
     **{f"h{n}": BLOCK for n in range(1, 7)},
     "b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "pre": "\n```" + BLOCK,
+    "td": " ", "th": " ", "q": '"', "blockquote": BLOCK,
 }
 
 # Private characters that keep preformatted text out of the white space rules.
 KEPT_NEWLINE, KEPT_BLANK, KEPT_STAR, KEPT_LINE = "\ue000", "\ue001", "\ue002", "\ue003"
+PLAIN_LESS = "\ue004"  # a ``<`` that opens no tag
 KEPT = KEPT_NEWLINE + KEPT_BLANK + KEPT_STAR + KEPT_LINE
 
 REMOVED = [
@@ -52,6 +50,12 @@ REMOVED = [
 LINK = r'(?is)<a\s[^>]*?href\s*=\s*["\']([^"\'>]*)["\'][^>]*>(.*?)</a\s*>'
 
 
+# Tags whose bodies are looked for by name, in any case.
+CASED = ("pre", "ol", "li")
+ODD_CASE = r"</?(?!(?:pre|ol|li)\b)(?i:pre|ol|li)\b"
+IMAGE = r'(?is)<img\s[^>]*?\balt\s*=\s*(?:"([^">]*)"|\'([^\'>]*)\')[^>]*>'
+
+
 def _where_present(text: Column, mark: str, change: Callable[[Column], Column]) -> Column:
     return bind(text, lambda t: F.when(F.instr(t, mark) > 0, change(t)).otherwise(t))
 
@@ -96,39 +100,52 @@ def _tag_sign(tag: Column, name: Column) -> Column:
 def _markdown_piece(piece: Column, index: Column) -> Column:
     closed = F.instr(piece, ">") > 0
     tag = F.substring_index(piece, ">", 1)
+    # A tag that never closes is text like any other; nothing is lost.
     text = F.when(index == 0, piece).when(
         closed, F.substr(piece, F.length(tag) + 2)
-    ).otherwise("")
+    ).otherwise(F.concat(F.lit(PLAIN_LESS), piece))
     name = F.lower(F.regexp_extract(tag, r"^/?([A-Za-z][A-Za-z0-9]*(#[0-9]+)?)", 1))
     shown = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\n]+", " "), r"([*_])", r"\\$1")
-    return F.when(index == 0, shown).otherwise(F.concat(_tag_sign(tag, name), shown))
+    return F.when((index == 0) | ~closed, shown).otherwise(F.concat(_tag_sign(tag, name), shown))
+
 
+def _references(text: Column) -> Column:
+    """Each numeric and named reference once, in one pass."""
+    named = F.create_map(*(F.lit(x) for pair in REFERENCES.items() for x in pair))
 
-def _numeric_references(text: Column) -> Column:
     def piece(part: Column, index: Column) -> Column:
-        digits = F.regexp_extract(part, r"^([0-9]{1,7});", 1)
-        hexed = F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
+        digits = F.regexp_extract(part, r"^#([0-9]{1,7});", 1)
+        hexed = F.regexp_extract(part, r"^#[xX]([0-9A-Fa-f]{1,6});", 1)
         code = F.when(digits != "", digits.cast("int")).when(
             hexed != "", F.conv(hexed, 16, 10).cast("int")
         )
         fits = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        char = F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        name = F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*;", 0)
+        found = F.when(part.startswith("amp;"), F.lit("&")).when(part.startswith("#"), char).when(name != "", named[name])
         rest = F.substr(part, F.instr(part, ";") + 1)
-        return (
-            F.when(index == 0, part)
-            .when(fits, F.concat(char, rest))
-            .otherwise(F.concat(F.lit("&#"), part))
+        return F.when(index == 0, part).otherwise(
+            bind(found, lambda x: F.when(x.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(x, rest)))
         )
 
     return _where_present(
-        text, "&#", lambda t: F.array_join(F.transform(F.split(t, "&#"), piece), "")
+        text, "&", lambda t: F.array_join(F.transform(F.split(t, "&"), piece), "")
     )
 
 
+def _lower_cased(text: Column) -> Column:
+    for tag in CASED:
+        text = F.regexp_replace(text, rf"(?i)<(/?){tag}\b", f"<$1{tag}")
+    return text
+
+
 def html_to_markdown(html: Column) -> Column:
     text = html
     for pattern in REMOVED:
         text = F.regexp_replace(text, pattern, "")
+    text = F.regexp_replace(text, r"<(?![A-Za-z/!?])", PLAIN_LESS)
+    text = bind(text, lambda t: F.when(t.rlike(ODD_CASE), _lower_cased(t)).otherwise(t))
+    text = _where_present(text, "<", lambda t: F.regexp_replace(t, IMAGE, "$1$2"))
     text = _where_present(
         text, "<pre",
         lambda t: _inside(t, "<pre", "</pre", lambda body: F.translate(body, "\n *_", KEPT)),
@@ -136,9 +153,7 @@ def html_to_markdown(html: Column) -> Column:
     text = _where_present(text, "<ol", lambda t: _inside(t, "<ol", "</ol", _number_items))
     text = F.regexp_replace(text, LINK, '<a>$2</a "$1">')
     text = F.array_join(F.transform(F.split(text, "<"), _markdown_piece), "")
-    text = _numeric_references(text)
-    for reference, char in ENTITIES:
-        text = F.replace(text, F.lit(reference), F.lit(char))
+    text = F.replace(_references(text), F.lit(PLAIN_LESS), F.lit("<"))
     text = F.regexp_replace(text, r"\n +", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     text = F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")

@@ -24,15 +24,16 @@ Parser = Callable[..., Mapping]
 def spread(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     """Spread the rows of a scan before costly work on each of them.
 
-    A scan with fewer splits than the cluster has cores is repartitioned. A larger one stays as the
-    reader cut it, since spreading it would only shuffle its bytes. A count given is used as it is.
+    A scan of fewer files than the cluster has cores is repartitioned. A larger one stays as the reader
+    cut it, since spreading it would only shuffle its bytes. A count given is used as it is. Only the
+    list of files is looked at; no plan is run. The rows are the same either way.
     """
     if partitions:
         return rows.repartition(partitions)
     if rows.isStreaming:
         return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def parse_files(files: DataFrame, hooks: Mapping[str, Callable[[bytes], str]] | None = None) -> DataFrame:
@@ -45,15 +46,23 @@ def parse_files(files: DataFrame, hooks: Mapping[str, Callable[[bytes], str]] |
     hooks = dict(hooks or {})
     typed = files.withColumn("__ext", file_extension(F.col("path")))
     ext = F.col("__ext")
+    # Only JSON rows go through the Python worker; a stream keeps one branch.
+    if not files.isStreaming:
+        is_json = F.coalesce(ext.isin(JSON_EXTENSIONS), F.lit(False))
+        return _parsed_rows(typed.filter(~is_json), hooks, False).unionByName(_parsed_rows(typed.filter(is_json), {}, True))
+    return _parsed_rows(typed, hooks, True)
+
+
+def _parsed_rows(typed: DataFrame, hooks: Mapping[str, Callable[[bytes], str]], with_json: bool) -> DataFrame:
+    """The rows of ``parse_files`` with their ``__ext``."""
+    ext = F.col("__ext")
     decoded_types = TEXT_EXTENSIONS + HTML_EXTENSIONS + JSON_EXTENSIONS
-    # Only JSON text crosses to the Python worker; other rows send it a NULL.
     staged = typed.withColumn(
         "__text", F.when(ext.isin(decoded_types), utf8_text(F.col("content")))
     )
     text = F.col("__text")
-    staged = staged.withColumn(
-        "__tags", json_to_tags(F.when(ext.isin(JSON_EXTENSIONS), text))
-    )
+    tags = json_to_tags(F.when(ext.isin(JSON_EXTENSIONS), text)) if with_json else F.lit(None).cast("string")
+    staged = staged.withColumn("__tags", tags)
     parsed = (
         F.when(ext.isin(TEXT_EXTENSIONS), strip(text))
         .when(ext.isin(HTML_EXTENSIONS), html_to_markdown(text))
@@ -104,28 +113,33 @@ def apply_parser(
 ) -> DataFrame:
     """Run a user parser on every file row and show its fields as columns.
 
-    The parser gets ``raw_doc_contents_bytes, doc_path, modification_time, doc_bytes_length`` and
-    returns a mapping; any status but SUCCESS, and any exception, becomes a fault row.
+    The parser gets the row as one mapping with ``path, modificationTime, length, content`` and returns
+    the fields of a parsed document; a row whose status isn't SUCCESS, or for which the parser raises,
+    becomes a fault row with the raw path.
     """
+    outcome = T.StructType([T.StructField("parsed", schema), T.StructField("fault", T.StringType())])
 
-    def guarded(content, modified, length, path):
+    def run(row):
         try:
-            result = parser(
-                raw_doc_contents_bytes=content, doc_path=path,
-                modification_time=modified, doc_bytes_length=length,
-            )
-            status = result.get("parser_status")
-            if status == SUCCESS:
-                return dict(result)
+            fields = dict(parser(row))
         except Exception as error:
-            status = f"{type(error).__name__}: {error}"
-        return {"content": "", "doc_uri": path, "parser_status": f"{FAULT_PREFIX}{status}"}
-
-    run = F.udf(guarded, schema, useArrow=True)
-    parsed = files.select(
-        run("content", "modificationTime", "length", "path").alias("parsing")
+            return None, f"{type(error).__name__}: {error}"
+        return fields, None
+
+    called = F.udf(run, outcome, useArrow=True)
+    tried = files.select("path", called(F.struct("path", "modificationTime", "length", "content")).alias("outcome"))
+    found, status = F.col("outcome.parsed"), F.col("outcome.parsed.parser_status")
+    fault = F.coalesce("outcome.fault", F.when(F.coalesce(status, F.lit("")) != SUCCESS, F.coalesce(status, F.lit("no status"))))
+    stated = {
+        "content": F.lit(""), "doc_uri": F.col("path"), "parser_status": F.concat(F.lit(FAULT_PREFIX), fault),
+    }
+    faulty = fault.isNotNull()
+    return tried.select(
+        *[
+            F.when(faulty, stated.get(f.name, F.lit(None).cast(f.dataType))).otherwise(found[f.name]).alias(f.name)
+            for f in schema.fields
+        ]
     )
-    return struct_columns(parsed, "parsing", schema)
 
 
 def struct_columns(df: DataFrame, name: str, schema: T.StructType) -> DataFrame:

@@ -27,6 +27,9 @@ DEFAULT_REPETITION = "~"
 
 _FAULT, _SEP, _REP, _GOOD = "__fault", "__sep", "__rep", "__good"
 
+# What every segment name outside the known ones is stored under.
+OTHER_KIND = "other"
+
 
 def _split_fields(line: Column, separator: Column) -> Column:
     """Fields of one line. The usual bar takes the single-character split, without a regex."""
@@ -189,6 +192,19 @@ def _explode_array(flat: DataFrame, segments: Column, provenance: Iterable[str])
     )
 
 
+def with_kind(segments: DataFrame) -> DataFrame:
+    """Adds ``segment_kind``, a known segment name or ``other``: a bounded set to lay tables out by,
+    whatever stands at the start of a line. ``segment_id`` stays as it is in the message."""
+    known = F.col("segment_id").isin(list(SEGMENT_FIELD_NUMBERS))
+    return segments.withColumn("segment_kind", F.when(known, F.col("segment_id")).otherwise(OTHER_KIND))
+
+
+def of_kind(segments: DataFrame, segment: str) -> DataFrame:
+    """The stored part of a table laid out by kind that can hold ``segment``."""
+    kind = segment if segment in SEGMENT_FIELD_NUMBERS else OTHER_KIND
+    return segments.filter(F.col("segment_kind") == kind)
+
+
 def field_numbers(segment: str, numbers: Iterable[int] | None = None) -> list[int]:
     if numbers is not None:
         return list(numbers)

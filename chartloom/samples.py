@@ -165,7 +165,7 @@ def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _file_rows(df: DataFrame, prefix: str, number: Column, extension: Column, content: Column):
     return df.select(
         F.concat(
-            F.lit(f"dbfs:/Volumes/c/s/{prefix}"), number.cast("string"), extension
+            F.lit(f"file:/in/{prefix}"), number.cast("string"), extension
         ).alias("path"),
         F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("modificationTime"),
         F.octet_length(content).cast("bigint").alias("length"),

@@ -10,11 +10,11 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chartloom.operators.changes import INSERT, collapse_keys, latest_by_key, rows_to_embed
+from chartloom.operators.changes import DELETE, INSERT, collapse_keys, latest_by_key, rows_to_embed
 from chartloom.operators.chunks import CHUNK_KEY, CHUNK_TEXT
 from chartloom.operators.grouping import assemble_messages
 from chartloom.operators.messages import (
-    explode_segments, flatten_messages, parse_messages, segment_table, typed_segments,
+    explode_segments, flatten_messages, of_kind, parse_messages, segment_table, typed_segments, with_kind,
 )
 from chartloom.schemas import SEGMENT_FIELD_NUMBERS
 from chartloom.sinks.tables import overwrite_folder, read_batch_folders, start_append, write_batch_folder
@@ -35,12 +35,23 @@ class MessageStreams:
         start_append(stream, self.path(name), self.path(f"_checkpoints/{name}")).awaitTermination()
 
     def stream(self, name: str) -> DataFrame:
-        """A written table as a stream; its schema comes from the stored files."""
-        schema = self.read(name).schema
+        """A written table as a stream, with the declared schema of its hop, so that it can start before
+        there are files. Other tables take theirs from the stored files."""
+        schema = self.schemas().get(name) or self.read(name).schema
         return stream_folder(self.spark, self.path(name), schema, self.per_trigger)
 
+    def schemas(self) -> dict:
+        """Schemas of the hops, from the operators themselves; no file is read."""
+        raw = self.spark.createDataFrame([], "file_path string, value string")
+        bronze = parse_messages(raw)
+        silver = flatten_messages(bronze)
+        frames = {"raw_data": raw, "bronze": bronze, "silver": silver, "gold_all": explode_segments(silver)}
+        return {name: frame.schema for name, frame in frames.items()}
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """A written table; one that no file has reached yet is empty."""
+        schema = self.schemas().get(name)
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(self.path(name))
 
     def ingest(self, landing: str, name_glob: str | None = None) -> None:
         files = message_files(self.spark, landing, True, name_glob, self.per_trigger)
@@ -72,7 +83,7 @@ class MessageStreams:
 
         def write(batch: DataFrame, batch_id: int) -> None:
             overwrite_folder(
-                explode_segments(batch), f"{self.path('segments')}/batch_id={batch_id}", "segment_id"
+                with_kind(explode_segments(batch)), f"{self.path('segments')}/batch_id={batch_id}", "segment_kind"
             )
 
         run_batches(self.stream("silver"), write, self.path("_checkpoints/segments"))
@@ -81,7 +92,7 @@ class MessageStreams:
         return self.spark.read.parquet(self.path("segments"))
 
     def fanned(self, segment: str) -> DataFrame:
-        return typed_segments(self.fanned_segments(), segment)
+        return typed_segments(of_kind(self.fanned_segments(), segment), segment)
 
 
 def run_batches(
@@ -134,22 +145,34 @@ INDEX_LOG_SCHEMA = "change_type string, chunk_id string, content_chunked string,
 def sync_index_stream(
     chunks: DataFrame, path: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame]
 ) -> None:
-    """Keep an index in step with a stream of chunks: embed keys it lacks, once each.
+    """Keep an index in step with a stream of chunks, or of change rows of a chunk table.
 
-    Every batch adds one folder to the index log, holding new keys only; a retried batch leaves its
-    own folder out of what it compares with and replaces it.
+    A key is its content's hash, so only keys that the index lacks are embedded, and an update of other
+    columns needs nothing; rows of type ``delete`` take their keys out. Within a batch a key that is
+    still inserted or updated stays. Every batch adds one folder to the index log; a retried batch
+    leaves its own folder out of what it compares with and replaces it.
     """
     spark = chunks.sparkSession
+    changing = "change_type" in chunks.columns
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        source = collapse_keys(batch, CHUNK_KEY).select(CHUNK_KEY, CHUNK_TEXT)
+        delivered = batch.filter(F.col("change_type") != DELETE) if changing else batch
+        source = collapse_keys(delivered.select(CHUNK_KEY, CHUNK_TEXT), CHUNK_KEY)
+        unknown = source
         if batch_id > 0:
             log = spark.read.schema(INDEX_LOG_SCHEMA).parquet(path)
-            source = rows_to_embed(source, log.filter(F.col("batch_id") < batch_id))
-        fresh = embed(source).select(
-            F.lit(INSERT).alias("change_type"), CHUNK_KEY, CHUNK_TEXT, "embedding"
+            unknown = rows_to_embed(source, latest_by_key(log.filter(F.col("batch_id") < batch_id), CHUNK_KEY))
+        rows = embed(unknown).select(
+            F.lit(INSERT).alias("change_type"), CHUNK_KEY, CHUNK_TEXT, F.col("embedding").cast("array<float>").alias("embedding")
         )
-        write_batch_folder(fresh, path, batch_id)
+        if changing:
+            gone = batch.filter(F.col("change_type") == DELETE).select(CHUNK_KEY).distinct()
+            gone = gone.join(source.select(CHUNK_KEY), CHUNK_KEY, "left_anti").select(
+                F.lit(DELETE).alias("change_type"), CHUNK_KEY, F.lit(None).cast("string").alias(CHUNK_TEXT),
+                F.lit(None).cast("array<float>").alias("embedding"),
+            )
+            rows = rows.unionByName(gone)
+        write_batch_folder(rows, path, batch_id)
 
     run_batches(chunks, write, checkpoint)
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from chartloom.functions.chunking import check_chunk_sizes, model_chunker, recursive_chunker
+from chartloom.functions.chunking import check_chunk_sizes, model_chunker, recursive_chunker, word_or_run_count
 from chartloom.operators import chunks
 from chartloom.operators.changes import collapse_keys
 
@@ -114,3 +114,10 @@ def test_model_chunker():
         model_chunker("bge-large-en-v1.5", 500, 100)
     with pytest.raises(ValueError, match="unknown embedding model"):
         model_chunker("nothing")
+
+
+def test_runs_without_blanks_are_cut():
+    text = "x" * 10_000 + " " + "word " * 50
+    found = recursive_chunker(20)(text)
+    assert max(word_or_run_count(chunk) for chunk in found) <= 20
+    assert "".join(found).replace(" ", "") == text.replace(" ", "")

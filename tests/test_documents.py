@@ -38,7 +38,7 @@ def parsed(spark, path, content, **options):
     ],
 )
 def test_file_types(spark, name, content, expected):
-    row = parsed(spark, f"dbfs:/v/some dir/{name}", content)
+    row = parsed(spark, f"file:/v/some dir/{name}", content)
     assert row["content"] == expected
     assert row["parser_status"] == "SUCCESS"
     assert row["doc_uri"] == f"/v/some dir/{name}"
@@ -50,10 +50,10 @@ def test_file_types(spark, name, content, expected):
     [("a.PDF", b"x"), ("a", b"x"), ("a.txt", b"\xff\xfe"), ("a.jsonl", b"{}\n{}"), ("a.json", b"{")],
 )
 def test_faults_become_rows(spark, name, content):
-    row = parsed(spark, f"dbfs:/v/{name}", content)
+    row = parsed(spark, f"file:/v/{name}", content)
     assert row["content"] == ""
     assert row["parser_status"].startswith(documents.FAULT_PREFIX)
-    assert row["doc_uri"] == f"dbfs:/v/{name}"
+    assert row["doc_uri"] == f"file:/v/{name}"
     assert row["last_modified"] is None
 
 
@@ -70,7 +70,8 @@ def test_hooks_handle_more_types_and_their_errors(spark):
 
 
 def test_apply_parser_guards_the_parser(spark):
-    def parser(raw_doc_contents_bytes, doc_path, modification_time, doc_bytes_length):
+    def parser(row):
+        doc_path = row["path"]
         if doc_path.endswith("x"):
             raise ValueError("boom")
         if doc_path.endswith("y"):
@@ -114,7 +115,15 @@ def test_json_tags(text, expected):
         ("&lt;b&gt; &amp;amp; &#233;&#x41;&copy; &#99999999;", "<b> &amp; éA© &#99999999;"),
         ("<p><strong>s</strong> <em>e</em> <code>c</code></p>", "**s** *e* `c`"),
         ("plain  \n text", "plain text"),
-        ("a < b", "a"),
+        ("a < b", "a < b"),
+        ("<p>if a < b then c</p>", "if a < b then c"),
+        ("<p>3 < 4</p>", "3 < 4"),
+        ("x <y and more <b>z</b>", "x <y and more **z**"),
+        ("<table><tr><td>1</td><td>2</td></tr></table>", "| 1 | 2"),
+        ('a <img src="p.png" alt="a picture"> b', "a a picture b"),
+        ("<blockquote>said</blockquote><q>so</q>", '> said\n\n"so"'),
+        ("&eacute;&NotEqual;&nosuch; &amp;lt;", "é≠&nosuch; &lt;"),
+        ("<PRE>a\n b</PRE><OL><LI>x</LI><Li>y</Li></OL>", "```\na\n b\n```\n\n1. x\n2. y"),
         ("", ""),
     ],
 )
@@ -126,9 +135,9 @@ def test_html_to_markdown(spark, html, expected):
 @pytest.mark.parametrize(
     "path, extension, stripped",
     [
-        ("dbfs:/a b/c.tar.gz", ".gz", "/a b/c.tar.gz"), ("/a/.bashrc", "", "/a/.bashrc"),
+        ("file:/a b/c.tar.gz", ".gz", "/a b/c.tar.gz"), ("/a/.bashrc", "", "/a/.bashrc"),
         ("file:///x/y.PDF", ".PDF", "/x/y.PDF"), ("s3://bucket/k/f.md", ".md", "/k/f.md"),
-        ("/a.b/noext", "", "/a.b/noext"), ("dbfs:/q.txt?x=1#f", ".txt?x=1#f", "/q.txt"),
+        ("/a.b/noext", "", "/a.b/noext"), ("file:/q.txt?x=1#f", ".txt?x=1#f", "/q.txt"),
     ],
 )
 def test_paths(spark, path, extension, stripped):

@@ -50,7 +50,7 @@ def test_hops_equal_batch_and_take_new_files_only(spark, tmp_path):
     streams.fan_out()
     assert rows(streams.fanned("AL1")) == rows(streams.read("gold_al1"))
     plan = streams.fanned("AL1")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(segment_id" in plan
+    assert "PartitionFilters: [isnotnull(segment_kind" in plan
 
 
 def test_lines_are_put_together_in_order(spark, tmp_path):
@@ -140,3 +140,68 @@ def test_catalog_tables(spark, tmp_path):
     assert sorted(r["twice"] for r in sinks.preview(spark.table("chartloom_second"), 5).collect()) == [0, 2, 4]
     spark.sql("DROP TABLE chartloom_first")
     spark.sql("DROP TABLE chartloom_second")
+
+
+def test_hops_start_before_there_are_files(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    streams = hops.MessageStreams(spark, str(tmp_path / "tables"))
+    streams.ingest(str(landing))
+    streams.bronze()
+    streams.silver()
+    streams.gold_all()
+    land(landing, "part-001", "p1")
+    streams.ingest(str(landing))
+    streams.bronze()
+    streams.silver()
+    streams.gold_all()
+    flat = msg.flatten_messages(msg.parse_messages(message_files(spark, str(landing))))
+    assert rows(streams.read("gold_all")) == rows(msg.explode_segments(flat))
+
+
+def test_segment_tables_survive_any_line(spark, tmp_path):
+    header = "MSH|^~\\&|S|F|D|DF|20240101||ADT^A01|1|P|2.5"
+    junk = [f"J{i:03d}|x" for i in range(60)]
+    text = "\r".join([header, "|starts empty", "x" * 400, *junk, "AL1|1|DA|nuts"])
+    frame = spark.createDataFrame([("f", text)], "file_path string, value string")
+    exploded = msg.explode_segments(msg.flatten_messages(msg.parse_messages(frame)))
+    built = build_segment_tables(frame, str(tmp_path / "batch"))
+    assert rows(built["gold_all"].select(exploded.columns)) == rows(exploded)
+    assert "" in {r["segment_id"] for r in built["gold_all"].collect()}
+    frame.write.parquet(str(tmp_path / "in"))
+    streams = hops.MessageStreams(spark, str(tmp_path / "stream"))
+    streams.bronze(sources.stream_folder(spark, str(tmp_path / "in"), frame.schema))
+    streams.silver()
+    streams.fan_out()
+    assert rows(streams.fanned_segments().select(exploded.columns)) == rows(exploded)
+    assert [r["AL1_3"] for r in streams.fanned("AL1").collect()] == ["nuts"]
+
+
+def test_index_follows_deletes_and_updates(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / x) for x in "fox")
+    schema = "change_type string, chunk_id string, content_chunked string"
+    seen = []
+
+    def embed(df):
+        seen.append(sorted(r["chunk_id"] for r in df.collect()))
+        return df.withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+
+    deliveries = (
+        [("insert", "a", "A"), ("insert", "b", "B")],
+        [("delete", "a", None), ("update", "b", "B"), ("insert", "c", "C")],
+        [("insert", "a", "A"), ("delete", "c", None)],
+    )
+    for batch in deliveries:
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(folder)
+        stored = spark.read.parquet(folder).schema
+        hops.sync_index_stream(sources.stream_folder(spark, folder, stored), out, checkpoint, embed)
+    assert seen == [["a", "b"], ["c"], ["a"]]
+    assert sorted(r["chunk_id"] for r in hops.read_index(spark, out).collect()) == ["a", "b"]
+
+
+def test_overwritten_table_takes_a_new_schema(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS chartloom_changing")
+    sinks.overwrite_table(spark.range(2), "chartloom_changing")
+    again = sinks.overwrite_table(spark.range(3).selectExpr("id AS other", "'x' AS text"), "chartloom_changing")
+    assert again.columns == ["other", "text"] and again.count() == 3
+    spark.sql("DROP TABLE chartloom_changing")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chartloom.session import scratch_folder
 
@@ -24,6 +25,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000):
+    """Fewer rows in an Arrow batch for what runs inside, where rows are whole texts or sets of hashes:
+    a batch stands twice in the JVM's and twice in Python's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_of(column: str | Column) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

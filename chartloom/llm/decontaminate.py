@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chartloom.llm.common import slices, stored, text_of
+from chartloom.llm.common import slices, small_batches, stored, text_of
 
 BLOCK = 16  # words; a window is two blocks
 RANK = 128
@@ -219,6 +219,11 @@ def find_leaks(
     Null and empty texts hold nothing; null and empty items are held by nothing; null ids and repeated rows
     are searched like any other; an empty benchmark finds nothing. Other columns are not looked at.
     """
+    with small_batches(docs.sparkSession):
+        return _find_leaks(docs, benchmark, id_column, text_column, item_column, item_text_column, cosine, rank)
+
+
+def _find_leaks(docs, benchmark, id_column, text_column, item_column, item_text_column, cosine, rank) -> DataFrame:
     spark = docs.sparkSession
     id_type = docs.schema[id_column].dataType.simpleString()
     item_type = benchmark.schema[item_column].dataType.simpleString()

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from chartloom.llm.common import binary_views, parts_of, stored, text_of
+from chartloom.llm.common import binary_views, parts_of, small_batches, stored, text_of
 from chartloom.llm.components import components
 from chartloom.llm.shingles import mixed, shingle_set
 
@@ -343,6 +343,11 @@ def near_copies(
     smallest unless there is no other; rows with equal ids or texts keep a row each. ``digest`` is the
     class of equal sets. Other columns are not looked at.
     """
+    with small_batches(docs.sparkSession):
+        return _near_copies(docs, id_column, text_column, percent, orders)
+
+
+def _near_copies(docs, id_column, text_column, percent, orders) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_column).cast("long").alias("key"), text_of(text_column).alias("text"))

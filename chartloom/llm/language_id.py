@@ -74,7 +74,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-        for start, end in slices(texts):
+        for start, end in slices(texts, 300_000):
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(langs[start:end], texts[start:end]):
                 by_lang.setdefault(lang, []).append(text)
@@ -115,7 +115,7 @@ def learn_profiles(
     return {lang: [grams[i] for i in sorted(grams)] for lang, grams in sorted(profiles.items())}
 
 
-def _nearest(profiles: dict[str, list[int]], length: int):
+def _predictor(profiles: dict[str, list[int]], length: int):
     langs = list(profiles)
     grams = np.unique(np.array([g for p in profiles.values() for g in p], np.int64))
     places = np.full((len(langs), len(grams) + 1), -1, np.int64)
@@ -133,9 +133,15 @@ def _nearest(profiles: dict[str, list[int]], length: int):
         best = int(apart.argmin())
         return langs[best], 1.0 - float(apart[best]) / (length * len(own))
 
+    return predict
+
+
+def _nearest(profiles: dict[str, list[int]], length: int):
+    predict = _predictor(profiles, length)
+
     def run(batches):
         for batch in batches:
-            predicted = [predict(text) for text in batch.column("text").to_pylist()]
+            predicted = [predict(str(text)) for text in batch.column("text")]
             rest = [name for name in batch.schema.names if name != "text"]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -149,6 +155,20 @@ def _nearest(profiles: dict[str, list[int]], length: int):
     return run
 
 
+def language_column(profiles: dict[str, list[int]], text_column: str = "text", length: int = PROFILE) -> Column:
+    """Struct ``lang_pred, score`` of each text, as ``identify`` gives them; the other columns stay in the JVM."""
+    predict = _predictor(profiles, length)
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [predict(str(text)) for text in texts]
+        return pa.StructArray.from_arrays(
+            [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"]
+        )
+
+    return run(text_of(text_column))
+
+
 def identify(
     docs: DataFrame,
     profiles: dict[str, list[int]],

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from chartloom.llm.common import slices, stored, text_of
+from chartloom.llm.common import slices, small_batches, stored, text_of
 from chartloom.llm.tokens import id_bytes, tokenizer_kind
 
 CAPACITY = 2_048
@@ -212,6 +212,11 @@ def pack_documents(
     repeated rows are packed like any other; an empty table has no pieces. Pieces of a sequence are
     gapless from 0. Other columns are not looked at.
     """
+    with small_batches(docs.sparkSession):
+        return _pack_documents(docs, tokenizer, id_column, text_column, capacity, end_id, rounds)
+
+
+def _pack_documents(docs, tokenizer, id_column, text_column, capacity, end_id, rounds) -> DataFrame:
     kind = tokenizer_kind(tokenizer)
     id_type = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("key"), text_of(text_column).alias("text"))

@@ -7,7 +7,6 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from chartloom.llm.components import components
 from chartloom.llm.fingerprints import GRAM, WINDOW, fingerprint_edits

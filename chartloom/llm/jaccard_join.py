@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from chartloom.llm.common import binary_views, parts_of, small_batches, stored, text_of
+from chartloom.llm.common import binary_views, give_back, parts_of, small_batches, stored, text_of
 from chartloom.llm.components import components
 from chartloom.llm.shingles import mixed, shingle_set
 
@@ -153,6 +153,7 @@ def _deal(buckets: int, from_count: int):
                     held, size = [], 0
         if held and (rows := list(flush(held))):
             yield batch_of(rows)
+        give_back()
 
     return run
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chartloom.llm.common import slices, text_of, worker_store
+from chartloom.llm.common import give_back, slices, text_of, worker_store
 
 PROFILE = 300
 UNKNOWN = "und"
@@ -91,6 +91,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(len(keys) for keys, _ in held.values()) > MOST_HELD:
                 yield from rows()
     yield from rows()
+    give_back()
 
 
 def learn_profiles(

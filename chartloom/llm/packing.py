@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from chartloom.llm.common import slices, small_batches, stored, text_of
+from chartloom.llm.common import give_back, slices, small_batches, stored, text_of
 from chartloom.llm.tokens import id_bytes, tokenizer_kind
 
 CAPACITY = 2_048
@@ -143,7 +143,7 @@ def _pieces(path: str, kind: str, capacity: int, end_id: int):
         seen = [0] * (capacity + 1)
         for batch in batches:
             keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, 500_000):
                 out = [[], [], [], [], [], []]
                 for key, ids in zip(keys[start:stop], id_bytes(path, kind, texts[start:stop])):
                     ids += end
@@ -158,6 +158,7 @@ def _pieces(path: str, kind: str, capacity: int, end_id: int):
                     [*(pa.array(column, kind) for column, kind in zip(out, kinds)), pa.array([part] * len(out[0]), pa.int32())],
                     ["key", "piece", "start", "length", "ids_crc32", "rank", "part"],
                 )
+        give_back()
 
     return run
 

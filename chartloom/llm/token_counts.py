@@ -37,7 +37,7 @@ def _count_rows(path: str, kind: str):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = []
-            for start, end in slices(texts):
+            for start, end in slices(texts, 500_000):
                 counts += counts_of(path, kind, texts[start:end])
             keys = [batch.column(name) for name in batch.schema.names if name != "text"]
             names = [name for name in batch.schema.names if name != "text"]

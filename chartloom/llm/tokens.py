@@ -15,7 +15,7 @@ import numpy as np
 
 from chartloom.llm.common import WHITE, worker_store
 
-MOST_PIECES = 500_000
+MOST_PIECES = 300_000
 PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WORDS = re.compile(f"[^{WHITE}]+")
 #: Texts that need the patterns above: characters beyond Latin letters and marks, blanks in a row or at an end.

@@ -119,6 +119,33 @@ def test_repeated_passages(spark, make_docs):
     assert repeated_passages(make_docs([])).count() == 0
 
 
+def test_recall_of_fuzzy_passages(make_docs):
+    r = random.Random(5)
+    rows, planted = [], {}
+    for length in (50, 60, 100):
+        for percent in (80, 85, 90, 95):
+            for _ in range(10):
+                passage, key = prose(length, r), 2 * len(planted)
+                rows.append((key, f"{prose(60, r)} {passage} {prose(60, r)}"))
+                rows.append((key + 1, f"{prose(80, r)} {edited(passage, length * (100 - percent) // 100, r)} {prose(80, r)}"))
+                planted[key + 1] = (80, 80 + length)
+    found = defaultdict(int)
+    for x in repeated_passages(make_docs(rows)).collect():
+        assert (x.doc_id, x.first_doc_id) == (x.first_doc_id + 1, x.doc_id - 1) and x.identity >= 0.8
+        low, high = planted[x.doc_id]
+        found[x.doc_id] = max(found[x.doc_id], min(x.end_word, high) - max(x.start_word, low))
+    assert sum(found[k] >= 0.8 * (b - a) for k, (a, b) in planted.items()) >= 0.98 * len(planted)
+
+
+def test_passages_with_words_left_out_and_a_far_chance_match(make_docs):
+    r = random.Random(6)
+    words, more = prose(70, r).split(), prose(12, r)
+    fewer = [w for i, w in enumerate(words) if i % 9]
+    rows = [(1, f"{' '.join(words)} {prose(60, r)} {more} {prose(9, r)}"), (2, f"{' '.join(fewer)} {prose(60, r)} {more} {prose(9, r)}")]
+    got = repeated_passages(make_docs(rows)).collect()
+    assert [r.doc_id for r in got] == [2] and got[0].start_word <= 2 and 58 <= got[0].end_word <= 75
+
+
 def test_long_copies_are_whole_passages(make_docs):
     text = prose(30_000)
     got = repeated_passages(make_docs([(2, text), (1, text)])).collect()

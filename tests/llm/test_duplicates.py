@@ -137,6 +137,19 @@ def test_recall_of_fuzzy_passages(make_docs):
     assert sum(found[k] >= 0.8 * (b - a) for k, (a, b) in planted.items()) >= 0.98 * len(planted)
 
 
+def test_passages_made_of_parts_of_different_documents(make_docs):
+    r = random.Random(7)
+    rows, planted = [], []
+    for sizes in [(25, 25), (33, 33), (40, 40), (49, 49), (30, 30, 30), (20, 45, 20)] * 3:
+        parts, key = [prose(n, r) for n in sizes], 10 * len(planted)
+        rows += [(key + i, f"{prose(30, r)} {part} {prose(30, r)}") for i, part in enumerate(parts)]
+        rows += [(key + i, f"{prose(30 + i, r)} {' '.join(parts)} {prose(30, r)}") for i in (5, 6)]
+        planted.append((key + 6, key + 5, 36, 36 + sum(sizes)))
+    got = repeated_passages(make_docs(rows)).collect()
+    for doc, first, low, high in planted:
+        assert any((x.doc_id, x.first_doc_id) == (doc, first) and x.start_word <= low and x.end_word >= high for x in got)
+
+
 def test_passages_with_words_left_out_and_a_far_chance_match(make_docs):
     r = random.Random(6)
     words, more = prose(70, r).split(), prose(12, r)

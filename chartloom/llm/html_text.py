@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chartloom.llm.common import stored, text_of
 
-#: Least importance of a branch that stays, and pages that a host needs for the comparison.
+#: Least importance of a branch that stays, and distinct pages that a host needs for the comparison.
 LEAST_IMPORTANCE = 0.3
 LEAST_PAGES = 4
 GAMMA = 0.9
@@ -147,26 +147,43 @@ def host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``site, page, items``: of each page of a host the hash of its blocks, and its nodes with their text
+    blocks (kind 0) and orders of children (1). Pages without a host are not compared."""
+    for batch in batches:
+        rows: dict[tuple[int, int], bytes] = {}
+        for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
+            if not (name := host(url)):
+                continue
+            blocks, nodes = read_page(html)
+            texts = [(_hash(path), 0, _hash(text)) for path, _, text in blocks]
+            key = _hash(name), _hash(repr(texts))
+            if key not in rows:
+                orders = {(_hash(n.path), 1, _hash(" ".join(n.children))) for n in nodes if n.path and not n.noise}
+                rows[key] = np.array([*set(texts), *orders], np.int64).tobytes()
+        if rows:
+            columns = [pa.array([k[0] for k in rows], pa.int64()), pa.array([k[1] for k in rows], pa.int64()), pa.array(list(rows.values()), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["site", "page", "items"])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pages by host, node and either text block (kind 0) or order of children (1); each host's
-    pages are kind 2."""
+    """Counts of distinct pages by host, node and either text block (kind 0) or order of children (1); each
+    host's pages are kind 2."""
     for batch in batches:
         counts: Counter = Counter()
-        urls, pages = batch.column("url").to_pylist(), batch.column("html").to_pylist()
-        for url, html in zip(urls, pages):
-            site = _hash(host(url))
-            blocks, nodes = read_page(html)
+        for site, raw in zip(batch.column("site").to_pylist(), batch.column("items").to_pylist()):
             counts[site, 0, 2, 0] += 1
-            counts.update({(site, _hash(path), 0, _hash(text)) for path, _, text in blocks})
-            counts.update({(site, _hash(n.path), 1, _hash(" ".join(n.children))) for n in nodes if n.path and not n.noise})
+            counts.update((site, *item) for item in np.frombuffer(raw, np.int64).reshape(-1, 3).tolist())
         if counts:
             columns = np.array([(*key, n) for key, n in counts.items()], np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["site", "node", "kind", "item", "n"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``site, node, importance`` of every node of the merged pages (``url, html``), as 64-bit hashes."""
-    counted = pages.mapInArrow(_merge, "site long, node long, kind long, item long, n long")
+    """``site, node, importance`` of every node of the merged pages (``url, html``), as 64-bit hashes.
+    Pages of the same blocks count once, so that copies of a page are not taken for template."""
+    distinct = pages.mapInArrow(_items, "site long, page long, items binary").dropDuplicates(["site", "page"])
+    counted = distinct.mapInArrow(_merge, "site long, node long, kind long, item long, n long")
     counted = stored(counted.groupBy("site", "node", "kind", "item").agg(F.sum("n").alias("n")), "style-tree")
     n_pages = counted.where("kind = 2").select("site", F.col("n").alias("pages"))
     parts = counted.where("kind < 2").join(n_pages, "site").where(F.col("pages") >= LEAST_PAGES)
@@ -215,8 +232,8 @@ def extract_main_text(
     """``<id>, url, text, n_chars`` of every row.
 
     Blocks are joined by a line break, white space inside them is one space, references are decoded.
-    Null and empty pages have an empty text; a null URL or one without a host belongs to the host of the
-    empty name; null ids and repeated rows keep a row each; other columns are not looked at.
+    Null and empty pages have an empty text; pages without a host (a null URL, for one) are compared
+    with no others; null ids and repeated rows keep a row each; other columns are not looked at.
     """
     kind = pages.schema[id_column].dataType.simpleString()
     rows = pages.select(F.col(id_column).alias("key"), F.col(url_column).alias("url"), text_of(html_column).alias("html"))

@@ -47,6 +47,18 @@ def test_style_tree_removes_what_pages_share(make_pages):
     assert min(importance) < 0.3 < max(importance)
 
 
+def test_copies_of_a_page_are_no_template(make_pages):
+    body = "<body><div class=x1><p>{}</div><div class=x2><p>word{}<p>more {}</div></body>"
+    same = body.format("head", "same", "text")
+    rows = [(i, f"http://a.example/{i}", same + f"<script>{i}</script>") for i in range(6)]
+    rows += [(100 + i, f"http://b.example/{i}", same if i < 80 else body.format("head", i, i)) for i in range(100)]
+    rows += [(300 + i, None, same) for i in range(6)] + [(310 + i, "x", body.format("head", i, i)) for i in range(6)]
+    texts = {r.page_id: r.text for r in extract_main_text(make_pages(rows)).collect()}
+    assert all(texts[i] == "head\nwordsame\nmore text" for i in (*range(6), *range(300, 306)))
+    assert all(texts[100 + i] == ("wordsame\nmore text" if i < 80 else f"word{i}\nmore {i}") for i in range(100))
+    assert all(texts[310 + i] == f"head\nword{i}\nmore {i}" for i in range(6))
+
+
 def test_articles_of_the_pages_table(spark, sf_dir):
     from html import unescape
 

@@ -4,7 +4,7 @@ Texts become numbers of the benchmark's words (all others are one unknown word),
 frequencies are counted over all of them. The TF-IDF passages of the benchmark are factorised by a
 distributed randomised SVD: tasks multiply their passages with a random basis, the driver orthonormalises
 the sums. Every window of every text is projected to that space and compared with every benchmark item;
-candidates by cosine are checked by the longest common subsequence of words with the item, and by the
+candidates by cosine, and by runs of words that they share, are checked by the longest common subsequence of words with the item, and by the
 item's answer, its last sentence, so that paraphrases with words changed are found and chance is not.
 """
 
@@ -22,6 +22,9 @@ BLOCK = 16  # words; a window is two blocks
 RANK = 128
 POWER_ROUNDS = 2
 COSINE = 0.15
+#: Words of a run that makes a candidate whatever its cosine is, and of how many runs of an item one has to be there.
+#: A whole copy has all of them.
+GRAM, ONE_OF = 3, 10
 #: Aligned share of an item's words that is a leak by itself, and with that share of its answer.
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.5
 #: The benchmark goes to the driver and to all tasks; more items than this are refused.
@@ -146,8 +149,55 @@ def common_words(item: np.ndarray, region: np.ndarray, unknown: int) -> tuple[in
     return length, int(start[end]), end
 
 
+def _runs(ids: np.ndarray, size: int, unknown: int) -> np.ndarray:
+    """Each run of ``size`` words as one number: up to 300,002 words, so three fit."""
+    total = ids[: max(0, len(ids) - size + 1)].astype(np.int64)
+    for j in range(1, size):
+        total = total * (unknown + 2) + ids[j : len(ids) - size + 1 + j]
+    return total
+
+
+def shared_runs(items: list[np.ndarray], unknown: int):
+    """By size the sorted runs of the items with the items that have them, and the runs that each item needs.
+    Items shorter than ``GRAM`` are one run."""
+    tables, needed = [], np.zeros(len(items), np.int64)
+    for size in range(1, GRAM + 1):
+        own = [(i, np.unique(_runs(ids, size, unknown))) for i, ids in enumerate(items) if min(len(ids), GRAM) == size]
+        if own:
+            runs = np.concatenate([r for _, r in own])
+            of = np.repeat(np.array([i for i, _ in own]), [len(r) for _, r in own])
+            order = np.argsort(runs, kind="stable")
+            tables.append((size, runs[order], of[order]))
+            for i, r in own:
+                needed[i] = max(1, len(r) // ONE_OF)
+    return tables, needed
+
+
+def _sharing(ids: np.ndarray, tables, needed, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and items of the runs that a text shares with items, of items of which it has enough runs."""
+    places, found, votes = [], [], np.zeros(len(needed), np.int64)
+    for size, runs, of in tables:
+        mine = _runs(ids, size, unknown)
+        low = np.searchsorted(runs, mine)
+        at = np.flatnonzero(runs[np.minimum(low, len(runs) - 1)] == mine)
+        if not len(at):
+            continue
+        low, high = low[at], np.searchsorted(runs, mine[at], side="right")
+        n = high - low
+        entry = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        votes += np.bincount(of[np.unique(entry)], minlength=len(needed))  # distinct runs of each item
+        places.append(np.repeat(at, n))
+        found.append(of[entry])
+    if not places:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    places, found = np.concatenate(places), np.concatenate(found)
+    enough = votes[found] >= needed[found]
+    return places[enough], found[enough]
+
+
 def _search(projection, weights2, items, latent, kind, unknown, cosine):
     rank = projection.shape[1]
+    tables, needed = shared_runs([words for words, _ in items], unknown)
 
     def leaks(ids: np.ndarray):
         n = len(ids)
@@ -155,6 +205,8 @@ def _search(projection, weights2, items, latent, kind, unknown, cosine):
         padded = np.full(blocks * BLOCK, unknown + 1)
         padded[:n] = ids
         hits: dict[int, list[tuple[float, int]]] = {}
+        places, sharing = _sharing(ids, tables, needed, unknown)
+        shared = np.unique(np.stack((np.minimum(places // BLOCK, blocks - 2), sharing)), axis=1)
         for first in range(0, blocks - 1, 4_096):  # so that a huge text is never projected at once
             last = min(first + 4_097, blocks)
             part = padded[first * BLOCK : last * BLOCK]
@@ -165,6 +217,10 @@ def _search(projection, weights2, items, latent, kind, unknown, cosine):
             scores /= norms[:, None].astype(np.float32)
             for window, item in zip(*np.nonzero(scores >= cosine)):
                 hits.setdefault(int(item), []).append((float(scores[window, item]), first + int(window)))
+            here = shared[:, (shared[0] >= first) & (shared[0] < last - 1)]
+            for window, item in zip((here[0] - first).tolist(), here[1].tolist()):
+                if scores[window, item] < cosine:
+                    hits.setdefault(item, []).append((float(scores[window, item]), first + window))
         for item, windows in hits.items():
             words, answer = items[item]
             best = None

@@ -112,3 +112,18 @@ def test_licences_of_odd_rows(make_docs):
     assert got == [("42", "apache"), ("43", "proprietary"), ("None", "mit")]
     assert scan_licences(make_docs(rows)).where("doc_id = 43").count() == 2
     assert paragraphs(make_docs([(1, "a b\n\n \nc")]).select(F.col("doc_id").alias("key"), "text")).count() == 2
+
+
+def test_whole_copies_of_a_mixed_benchmark_are_found_without_the_cosine(spark, make_docs):
+    import random
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    sizes = [1, 2, 3, 12, 12, 30, 300, 2_500] * 3
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate(sizes)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    around = lambda n: " ".join("x" + word() for _ in range(n))
+    rows = [(100 + i, f"{around(77)} {text} {around(50)}") for i, text in items]
+    for options in ({"cosine": 2.0}, {}):  # no cosine is 2
+        got = {(x.doc_id, x.item_id) for x in find_leaks(make_docs(rows), benchmark, **options).collect()}
+        assert {(100 + i, i) for i, _ in items} <= got

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from chartloom.llm.byte_bpe import decode_documents, encode_documents
 from chartloom.llm.decontaminate import find_leaks
+from chartloom.llm.filter_audit import AUDIT_SQL, audit_filters
 from chartloom.llm.fingerprints import fingerprint_edits
 from chartloom.llm.html_text import extract_main_text
 from chartloom.llm.jaccard_join import near_copies
@@ -103,3 +105,27 @@ def op1_substring_dedup(spark, sf_dir):
 @_query
 def op9_benchmark_decontamination(spark, sf_dir):
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op11_byte_bpe(spark, sf_dir):
+    """Token count and digests of every document's ids and of what they decode to."""
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    encoded = encode_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return decode_documents(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+@_query
+def op12_filter_audit(spark, sf_dir):
+    """What five filters remove from each language under each of their 120 orders."""
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+_ORACLES["op12_filter_audit"] = AUDIT_SQL

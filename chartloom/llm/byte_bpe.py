@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from chartloom.llm.bpe_transducer import Transducer, Utf8Stream, read_ranks
 from chartloom.llm.common import WHITE, give_back, slices, text_of, worker_store
 
-MOST_KEPT, LONGEST_KEPT = 250_000, 48
+MOST_KEPT, LONGEST_KEPT = 200_000, 48
 BLOCK_CHARS, BLOCK_IDS = 400_000, 200_000
 STRINGS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
@@ -57,7 +58,7 @@ def unknown_characters(pattern: str) -> dict[int, int]:
 
 
 class TextEncoder:
-    """Ids of texts as little-endian 32-bit bytes."""
+    """Ids of texts as bytes of 32-bit numbers."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -69,30 +70,52 @@ class TextEncoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self._block(block) for block in blocks(text, BLOCK_CHARS))
+        return self.encode_texts([text])[0]
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. The new strings of all texts, or of a block of a long one, are merged together."""
+        if all(len(text) <= BLOCK_CHARS for text in texts):
+            return self._blocks(texts)
+        return [b"".join(part for block in blocks(text, BLOCK_CHARS) for part in self._blocks([block])) for text in texts]
 
     def _matches(self, string: str) -> list[str]:
         if string.isascii() or self.newer.isdisjoint(string):
             return self.split.findall(string)
         return [string[m.start() : m.end()] for m in self.split.finditer(string.translate(self.unknown))]
 
-    def _block(self, block: str) -> bytes:
-        strings = STRINGS.findall(block)
+    def _blocks(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MOST_KEPT:
             self.known.clear()
-        long = []
-        for string in set(strings).difference(self.known):
-            ids: list[int] = []
-            for match in self._matches(string):
-                ids += self.transducer.encode(match.encode())
-            self.known[string] = np.array(ids, "<i4").tobytes()
+        split = [STRINGS.findall(text) for text in texts]
+        new = list(set().union(*split).difference(self.known))
+        self._learn(new)
+        encoded = [b"".join(map(self.known.__getitem__, strings)) for strings in split]
+        for string in new:
             if len(string) > LONGEST_KEPT:
-                long.append(string)
-        encoded = b"".join(map(self.known.__getitem__, strings))
-        for string in long:
-            del self.known[string]
+                del self.known[string]
         return encoded
 
+    def _learn(self, strings: list[str]) -> None:
+        """New strings in one run of the pattern: one behind the other is cut like each by itself, if each starts
+        with white space and ends with something else. The few others go one by one."""
+        plain, odd = [], []
+        for string in strings:
+            fits = len(string) <= LONGEST_KEPT and string[0].isspace() and not string[-1].isspace()
+            (plain if fits and (string.isascii() or self.newer.isdisjoint(string)) else odd).append(string)
+        matches = self.split.findall("".join(plain))
+        pieces = list(map(str.encode, matches))
+        ids, bounds = self.transducer.encode_many(b"".join(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        match_ends = np.cumsum(np.fromiter(map(len, matches), np.int64, len(matches)))
+        string_ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+        ends = (4 * bounds[np.searchsorted(match_ends, string_ends)]).tolist() if plain else []
+        raw = ids.tobytes()
+        self.known.update((string, raw[start:end]) for string, start, end in zip(plain, [0, *ends], ends))
+        for string in odd:
+            found = array("i")
+            for match in self._matches(string):
+                found.extend(self.transducer.stream([match.encode()]))
+            self.known[string] = found.tobytes()
+
 
 def _encode_rows(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]):
@@ -100,9 +123,9 @@ def _encode_rows(path: str, pattern: str):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for start, end in slices(texts, 1_000_000):
-                encoded = [encoder.encode(text) for text in texts[start:end]]
+                encoded = encoder.encode_texts(texts[start:end])
                 offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in encoded])]).astype(np.int32)
-                values = np.frombuffer(b"".join(encoded), "<i4")
+                values = np.frombuffer(b"".join(encoded), np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("key")[start:end], ids], ["key", "ids"])
         give_back()

@@ -16,6 +16,7 @@ from chartloom.llm.language_id import identify_languages
 from chartloom.llm.license_scan import scan_licences
 from chartloom.llm.packing import pack_documents
 from chartloom.llm.substring_dedup import repeated_passages
+from chartloom.llm.token_alignment import align_tokenizers
 from chartloom.llm.token_counts import count_tokens
 from chartloom.llm.url_filter import judge_urls
 from chartloom.session import read_table
@@ -129,3 +130,11 @@ def op12_filter_audit(spark, sf_dir):
 
 
 _ORACLES["op12_filter_audit"] = AUDIT_SQL
+
+
+@_query
+def op13_tokenizer_alignment(spark, sf_dir):
+    """Groups and links of a byte-level and a piece tokenizer in every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    aligned = align_tokenizers(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return aligned.withColumnRenamed("groups", "groups_sha256")

@@ -148,9 +148,17 @@ def encode_documents(
     return rows.mapInArrow(_encode_rows(ranks, pattern), schema).withColumnRenamed("key", id_column)
 
 
+def _token_list(path: str) -> list[bytes | None]:
+    ranks = read_ranks(path)
+    tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
 def _decode_rows(path: str, column: str):
     def run(batches: Iterator[pa.RecordBatch]):
-        tokens = worker_store(f"tokens {path}", lambda: {rank: token for token, rank in read_ranks(path).items()})
+        tokens = worker_store(f"tokens {path}", lambda: _token_list(path))
         for batch in batches:
             lists, texts = batch.column(column), []
             for row in range(len(lists)):
@@ -159,7 +167,7 @@ def _decode_rows(path: str, column: str):
                     continue
                 ids, stream, parts = lists[row].values, Utf8Stream(), []
                 for start in range(0, len(ids), BLOCK_IDS):
-                    block = ids.slice(start, BLOCK_IDS).to_pylist()
+                    block = ids.slice(start, BLOCK_IDS).to_numpy().tolist()
                     parts.append(stream.feed(b"".join(map(tokens.__getitem__, block))))
                 texts.append("".join(parts) + stream.finish())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])

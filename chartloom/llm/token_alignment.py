@@ -6,11 +6,12 @@ bytes: an array over the first vocabulary says which id of the second has an id'
 such pairs are counted in a vector as long as the vocabulary. Only the other pairs, of irregular groups, are
 shuffled as pairs.
 
-Texts are cut where neither tokenizer has a token that reaches over, so a worker aligns each string
-between two cuts once (bounded, then started anew). Tasks gather documents into blocks of bounded text. A
-block keeps which strings each of its documents has, and sends each of its irregular pairs once, with
-the number of its documents that have it. The counts come back to the blocks the same way, so no
-document is tokenized twice and no row of a frequent pair stands for one document.
+Texts are cut where neither tokenizer has a token that reaches over. Tasks gather documents into blocks of
+bounded text and align each string between two cuts once a block: the new strings stand in a row, both
+tokenizers encode the row, and the common ends of their tokens are those of the strings. A block keeps
+which strings each of its documents has, and sends each of its irregular pairs once, with the number of its
+documents that have it. The counts come back to the blocks the same way, so no document is tokenized
+twice and no row of a frequent pair stands for one document.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from chartloom.llm.byte_bpe import blocks
-from chartloom.llm.common import WHITE, give_back, small_batches, stored, text_of, worker_store
+from chartloom.llm.common import WHITE, give_back, slices, small_batches, stored, text_of, worker_store
 from chartloom.llm.tokens import tokenizer_kind
 
 BLOCK_CHARS, BLOCK_ROWS = 4_000_000, 8_192
-SLICE_CHARS = 400_000
-MOST_KEPT, LONGEST_KEPT = 100_000, 48
+#: Text that is cut at once, strings that stand in a row, and the longest of them.
+SLICE_CHARS, ROW_CHARS, LONGEST_PLAIN = 500_000, 50_000, 48
 #: An id pair is one number: the first id, then 24 bits of the second.
 SECOND_BITS = 24
 BLANK = "▁"
@@ -79,7 +80,8 @@ class TokenizerPair:
             unsafe = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c) and c not in self.safe)
             self.unsafe = re.compile(f"[{unsafe}]") if unsafe else None
             self.cut = re.compile(f"(?<=[^{WHITE}])(?=[{self.safe}])")
-        self.known: dict[str, tuple | None] = {}
+        self.first_sizes = np.array(list(map(len, self.first_bytes)))
+        self.second_sizes = np.array(list(map(len, self.second_bytes)))
 
     @staticmethod
     def _safe_cuts(pieces: list[str]) -> str:
@@ -108,11 +110,32 @@ class TokenizerPair:
             ([self.blank_id] if s == " " else ids) if s[0] == " " else ids[1:] for s, ids in zip(strings, found)
         ]
 
-    def learn(self, strings: set[str]) -> dict[str, tuple | None]:
-        """Alignments of strings that aren't kept yet."""
-        new = list(strings)
-        first = self.first.encode_batch_fast(new, add_special_tokens=False)
-        return {s: self.align(s, a.ids, b) for s, a, b in zip(new, first, self._second_ids(new))}
+    def rows(self, strings: list[str]) -> tuple[list[list[str]], list[str]]:
+        """Strings that may stand in rows, one behind the other, and those that go by themselves."""
+        rows, odd, size = [[]], [], 0
+        for s in strings:
+            if not self.safe or len(s) > LONGEST_PLAIN or s[0] not in self.safe or s[-1].isspace() or BLANK in s:
+                odd.append(s)
+                continue
+            rows[-1].append(s)
+            size += len(s)
+            if size > ROW_CHARS:
+                rows.append([])
+                size = 0
+        return [row for row in rows if row], odd
+
+    def row_ids(self, row: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a row under both tokenizers; None if they don't give its bytes."""
+        a = self.first.encode_batch_fast([row], add_special_tokens=False)[0].ids
+        b = self._second_ids([row])[0]
+        raw = row.encode()
+        if b"".join(map(self.first_bytes.__getitem__, a)) != raw or b"".join(map(self.second_bytes.__getitem__, b)) != raw:
+            return None
+        return np.array(a), np.array(b)
+
+    def one_by_one(self, strings: list[str]) -> list[tuple | None]:
+        first = self.first.encode_batch_fast(strings, add_special_tokens=False)
+        return [self.align(s, a.ids, b) for s, a, b in zip(strings, first, self._second_ids(strings))]
 
     def align(self, string: str, a: list[int], b: list[int]) -> tuple | None:
         """Counts, groups as text and links of a string; None where tokens don't give its bytes."""
@@ -145,14 +168,15 @@ class TokenizerPair:
                         alike[x] += n * m
                     else:
                         pairs[x << SECOND_BITS | y] += n * m
-        return len(a), len(b), len(shown), links, ";".join(shown).encode(), tuple(alike.items()), tuple(pairs.items())
+        return len(a), len(b), len(shown), links, ";".join(shown), alike, pairs
 
 
-def _csr(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of rows of (value, count) entries, and both as arrays."""
-    ends = np.cumsum([len(row) for row in rows], dtype=np.int64)
-    flat = np.array([entry for row in rows for entry in row], np.int64).reshape(-1, 2)
-    return ends, flat[:, 0], flat[:, 1]
+def _by_string(entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], strings: int) -> list[np.ndarray]:
+    """Ends of the strings' entries, and the values and counts in order of the strings."""
+    nothing = np.zeros(0, np.int64)
+    string, value, count = (np.concatenate([nothing, *column]).astype(np.int64) for column in zip(*entries)) if entries else [nothing] * 3
+    order = np.argsort(string, kind="stable")
+    return [np.cumsum(np.bincount(string, minlength=strings)), value[order], count[order]]
 
 
 def _expand(ends: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,55 +218,117 @@ class _Block:
     def __init__(self, pair: TokenizerPair, show: bool):
         self.pair, self.show = pair, show
         self.places: dict[str, int] = {}
-        self.aligned: list[tuple | None] = []
-        self.shown: list[bytes | None] = []
+        self.sizes: list[np.ndarray] = []
+        self.shown: list[str | None] = []
+        self.alike, self.pairs = [], []  # string, id or pair, count
         self.keys, self.groups, self.strings, self.counts = [], [], [], []
         self.chars = 0
 
-    def add(self, key, text: str) -> None:
-        self.keys.append(key)
-        self.chars += len(text)
-        counted, digest, parts, first, whole = Counter(), hashlib.sha256(), [], True, bool(text)
-        for part in blocks(" " + text, SLICE_CHARS) if text and self.pair.safe else [" " + text] * whole:
-            strings = self.pair.split(part)
-            counts = Counter(strings)
-            self._learn(counts)
-            counted.update(counts)
-            places = list(map(self.places.__getitem__, strings))
-            if not all(map(self.aligned.__getitem__, places)):
-                whole = False
-                break
-            line = b";".join(map(self.shown.__getitem__, places))
-            parts.append(line) if self.show else digest.update(line if first else b";" + line)
-            first = False
-        if not whole:
-            counted.clear()
-            parts.clear()
-        self.groups.append(b";".join(parts).decode() if self.show else digest.hexdigest() if whole else "")
-        own = sorted(zip(map(self.places.__getitem__, counted), counted.values()))
+    def add(self, keys: list, texts: list[str]) -> None:
+        """Documents whose texts are a slice together, or a longer one by itself."""
+        self.keys += keys
+        self.chars += sum(map(len, texts))
+        if len(texts) > 1 or not self.pair.safe or len(texts[0]) <= SLICE_CHARS:
+            split = [self.pair.split(" " + text) if text else [] for text in texts]
+            self._learn(split)
+            for strings in split:
+                self._finish([list(map(self.places.__getitem__, strings))])
+            return
+
+        def parts():
+            for part in blocks(" " + texts[0], SLICE_CHARS):
+                strings = self.pair.split(part)
+                self._learn([strings])
+                yield list(map(self.places.__getitem__, strings))
+
+        self._finish(parts())
+
+    def _finish(self, parts) -> None:
+        """One document from the places of its strings, which come in parts."""
+        held, lines, digest, broken = Counter(), [], hashlib.sha256(), False
+        for places in parts:
+            shown = list(map(self.shown.__getitem__, places))
+            broken = broken or None in shown
+            if broken or not shown:
+                continue
+            line = ";".join(shown)
+            lines.append(line) if self.show else digest.update((";" + line if held else line).encode())
+            found, counts = np.unique(np.array(places), return_counts=True)
+            held.update(dict(zip(found.tolist(), counts.tolist())))
+        own = [] if broken else sorted(held.items())
+        shown = ";".join(lines) if self.show else digest.hexdigest()
+        self.groups.append(shown if own else "")
         self.strings.append(np.array([place for place, _ in own], np.int64))
         self.counts.append(np.array([count for _, count in own], np.int64))
 
-    def _learn(self, strings) -> None:
-        known = self.pair.known
-        if len(known) > MOST_KEPT:
-            known.clear()
-        new = [s for s in strings if s not in self.places]
-        fresh = self.pair.learn({s for s in new if s not in known})
-        for s in new:
-            record = known[s] if s in known else fresh[s]
-            self.places[s] = len(self.aligned)
-            self.aligned.append(record)
+    def _learn(self, split: list[list[str]]) -> None:
+        rows, odd = self.pair.rows(list(set().union(*split).difference(self.places)))
+        for row in rows:
+            ids = self.pair.row_ids("".join(row))
+            if ids is None or not self._learn_row(row, *ids):
+                odd += row
+        if odd:
+            self._learn_odd(odd)
+
+    def _place(self, strings: list[str]) -> int:
+        start = len(self.places)
+        self.places.update(zip(strings, range(start, start + len(strings))))
+        return start
+
+    def _learn_odd(self, strings: list[str]) -> None:
+        start = self._place(strings)
+        sizes = np.zeros((len(strings), 4), np.int64)
+        for i, record in enumerate(self.pair.one_by_one(strings)):
             self.shown.append(record and record[4])
-        known.update((s, record) for s, record in fresh.items() if len(s) <= LONGEST_KEPT)
+            if record:
+                sizes[i] = record[:4]
+                for entries, held in ((self.alike, record[5]), (self.pairs, record[6])):
+                    entries.append((np.full(len(held), start + i), np.array(list(held), np.int64), np.array(list(held.values()), np.int64)))
+        self.sizes.append(sizes)
+
+    def _learn_row(self, row: list[str], a: np.ndarray, b: np.ndarray) -> bool:
+        pair = self.pair
+        ends_a, ends_b = np.cumsum(pair.first_sizes[a]), np.cumsum(pair.second_sizes[b])
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        string_ends = np.cumsum([len(s.encode()) for s in row])
+        last = np.searchsorted(ends, string_ends)
+        if not np.array_equal(ends[np.minimum(last, len(ends) - 1)], string_ends):
+            return False
+        start = self._place(row)
+        groups = np.diff(last + 1, prepend=0)
+        string = np.repeat(np.arange(len(row)), groups)
+        to_a, to_b = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        columns = [np.bincount(string, weights, len(row)) for weights in (n_a, n_b, None, n_a * n_b)]
+        self.sizes.append(np.stack(columns, axis=1).astype(np.int64))
+        x, y = a[to_a - 1], b[to_b - 1]
+        single = (n_a == 1) & (n_b == 1)
+        same = single & (pair.identity[x] == y)
+        ones = lambda at: np.ones(len(at), np.int64)
+        self.alike.append((start + string[same], x[same], ones(x[same])))
+        other = single & ~same
+        self.pairs.append((start + string[other], x[other] << SECOND_BITS | y[other], ones(x[other])))
+        texts = list(map("%d|%d".__mod__, zip(x.tolist(), y.tolist())))
+        found = ([], []), ([], [])
+        for at in np.flatnonzero(~single).tolist():
+            own_a, own_b = a[to_a[at] - n_a[at] : to_a[at]].tolist(), b[to_b[at] - n_b[at] : to_b[at]].tolist()
+            texts[at] = f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}"
+            for i in own_a:
+                for j in own_b:
+                    alike = int(pair.identity[i] == j)
+                    found[alike][0].append(start + string[at])
+                    found[alike][1].append(i if alike else i << SECOND_BITS | j)
+        for entries, (own, values) in zip((self.pairs, self.alike), found):
+            entries.append((np.array(own, np.int64), np.array(values, np.int64), ones(own)))
+        bounds = (last + 1).tolist()
+        self.shown += [";".join(texts[low:high]) for low, high in zip([0, *bounds], bounds)]
+        return True
 
     def close(self, name: str, identity: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
         """The block's row, its irregular pairs and how many of its documents have each."""
-        nothing = (0, 0, 0, 0, b"", (), ())
-        records = [record or nothing for record in self.aligned]
-        sizes = np.array([record[:4] for record in records], np.int64).reshape(-1, 4)
-        alike_ends, alike, alike_n = _csr([record[5] for record in records])
-        pair_ends, pairs, pair_n = _csr([record[6] for record in records])
+        sizes = np.concatenate([np.zeros((0, 4), np.int64), *self.sizes])
+        alike_ends, alike, alike_n = _by_string(self.alike, len(sizes))
+        pair_ends, pairs, pair_n = _by_string(self.pairs, len(sizes))
         keys, slots = np.unique(pairs, return_inverse=True)
         ends = np.cumsum([len(x) for x in self.strings], dtype=np.int64)
         strings, counts = np.concatenate(self.strings), np.concatenate(self.counts)
@@ -285,8 +371,13 @@ def _scan(first: str, second: str, show: bool, schema: pa.Schema):
             yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(keys), f.type)) for f in schema], schema=schema)
 
         for batch in batches:
-            for key, text in zip(batch.column("key"), batch.column("text")):
-                block.add(key.as_py(), text.as_py())
+            keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
+            for start, end in slices(texts, SLICE_CHARS):
+                long = [i for i in range(start, end) if len(texts[i]) > SLICE_CHARS]
+                short = [i for i in range(start, end) if len(texts[i]) <= SLICE_CHARS]
+                for own in [short, *([i] for i in long)]:
+                    if own:
+                        block.add([keys[i] for i in own], [texts[i] for i in own])
                 if block.chars >= BLOCK_CHARS or len(block.keys) >= BLOCK_ROWS:
                     yield from closed(block, number)
                     block, number = _Block(pair, show), number + 1

@@ -105,6 +105,30 @@ def all_segments_sql() -> str:
     return BASE + "\nUNION ALL\n".join(branches)
 
 
+def all_fields_sql() -> str:
+    """Key columns, kind and the md5 sum of the sorted fields of every segment, errors included."""
+
+    def md5_of(fields: list[str]) -> str:
+        return f"md5(array_to_string(list_sort([{', '.join(fields)}]), chr(10))) AS fields_md5"
+
+    branches = []
+    for segment, variants in _ROWS.items():
+        for values, source in variants:
+            fields = [f"'{segment}_{n}=' || {value}" for n, value in values.items()]
+            branches.append(
+                f"SELECT message_type, message_datetime, patient_id, '{segment}' AS segment_id, {md5_of(fields)} FROM {source}"
+            )
+    custom = md5_of(["'ZZZ_1=custom'", "'ZZZ_2=' || okey"])
+    branches.append(
+        f"SELECT message_type, message_datetime, patient_id, 'ZZZ', {custom} FROM good WHERE o_orderkey % 79 = 0"
+    )
+    fault = md5_of([f"'error=' || {_ERROR_TEXT}"])
+    branches.append(
+        f"SELECT 'ERROR', NULL, NULL, 'ERROR', {fault} FROM every_order WHERE o_orderkey % 97 = 0 OR o_orderkey % 101 = 0"
+    )
+    return BASE + "\nUNION ALL\n".join(branches)
+
+
 def segment_counts_sql() -> str:
     return (
         f"SELECT segment_id, count(*) AS n_rows, sum(filled_fields)::BIGINT AS filled_fields "
@@ -119,10 +143,11 @@ SELECT file_path, 'ERROR', NULL, NULL, NULL FROM every_order
 WHERE o_orderkey % 97 = 0 OR o_orderkey % 101 = 0
 """
 
-_ERRORS = """
-SELECT file_path,
-       CASE WHEN o_orderkey % 101 = 0 THEN 'message text is missing'
-            ELSE 'message does not start with a header segment' END AS error_text
+_ERROR_TEXT = """CASE WHEN o_orderkey % 101 = 0 THEN 'message text is missing'
+            ELSE 'message does not start with a header segment' END"""
+
+_ERRORS = f"""
+SELECT file_path, {_ERROR_TEXT} AS error_text
 FROM every_order WHERE o_orderkey % 97 = 0 OR o_orderkey % 101 = 0
 """
 

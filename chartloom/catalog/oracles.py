@@ -136,6 +136,35 @@ WHERE rank <= {CODES_PER_ALLERGY}
 """
 
 
+def _chunk_neighbors_sql() -> str:
+    """Nearest other chunks of each chunk whose first document's id is divisible by 100."""
+    return _CHUNKS + f"""
+, c AS (SELECT chunk_id, content_chunked AS content, min(doc_id) AS doc_id FROM d_chunks GROUP BY 1, 2),
+{_weights_cte("cw", "c", "chunk_id", "content")},
+n AS (SELECT chunk_id, sqrt(sum(weight * weight)) AS norm FROM cw GROUP BY 1),
+q AS (SELECT chunk_id AS query_id FROM c JOIN n USING (chunk_id) WHERE doc_id % 100 = 0),
+dots AS (
+  SELECT query_id, b.chunk_id, sum(a.weight * b.weight) AS dot
+  FROM q JOIN cw a ON a.chunk_id = query_id JOIN cw b USING (slot) WHERE b.chunk_id <> query_id GROUP BY 1, 2
+), scores AS (
+  SELECT q.query_id, n.chunk_id, round(coalesce(dot / (n.norm * own.norm), 0), 6) AS score
+  FROM q JOIN n ON n.chunk_id <> q.query_id JOIN n own ON own.chunk_id = q.query_id
+  LEFT JOIN dots ON dots.query_id = q.query_id AND dots.chunk_id = n.chunk_id
+)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM scores
+) WHERE rank <= {NEIGHBORS}
+"""
+
+
+_CHUNK_RECALL_SQL = _CHUNKS + f"""
+, c AS (SELECT chunk_id, content_chunked AS content, min(doc_id) AS doc_id FROM d_chunks GROUP BY 1, 2),
+{_weights_cte("cw", "c", "chunk_id", "content")}
+SELECT count(DISTINCT chunk_id) AS queries, true AS recall_reached, true AS scores_exact, true AS share_below_fifth
+FROM cw JOIN c USING (chunk_id) WHERE doc_id % 100 = 0
+"""
+
+
 def all_oracles() -> dict[str, str]:
     gold = {f"gold_{s.lower()}": m.segment_sql(s) for s in SEGMENT_FIELD_NUMBERS}
     step_words = "len(string_split(content_chunked, ' '))"
@@ -143,6 +172,7 @@ def all_oracles() -> dict[str, str]:
         "message_assemble": m.ASSEMBLE_SQL,
         "message_parse_header": m.HEADER_SQL,
         "gold_all": m.all_segments_sql(),
+        "gold_all_fields": m.all_fields_sql(),
         "gold_all_counts": m.segment_counts_sql(),
         **gold,
         "gold_obx_from_silver": m.segment_sql("OBX"),
@@ -170,6 +200,12 @@ def all_oracles() -> dict[str, str]:
         "stream_assemble_upsert": m.ASSEMBLE_SQL,
         "stream_index_sync": _SNAPSHOTS + "," + _weights_cte("w", "new", "chunk_id", "content_chunked") + """
             SELECT chunk_id, slot, round(weight, 5) AS weight FROM w""",
+        "stream_index_compacted": _SNAPSHOTS + "SELECT chunk_id, content_chunked FROM new",
+        "stream_assemble_complete": """
+            SELECT 'part-00' || s_suppkey AS file_path, true AS complete,
+                   'MSH|^~\\&|SRC|FAC|DST|DFAC|20240101||ADT^A04|' || s_suppkey || chr(13)
+                   || 'PID|1||' || s_suppkey || '||' || s_name || chr(13)
+                   || 'PV1|1|N|' || s_nationkey AS value FROM supplier""",
         "doc_parse_text": _FILES + "SELECT * FROM docs",
         "doc_success_filter": _FILES + """
             SELECT doc_uri, length(content) AS n_chars FROM docs WHERE parser_status = 'SUCCESS'""",
@@ -218,6 +254,23 @@ def all_oracles() -> dict[str, str]:
                OR old.last_modified <> new.last_modified""",
         "index_upsert": _SNAPSHOTS + """
             SELECT chunk_id, content_chunked, doc_uri, last_modified FROM new""",
+        "document_index": _FILES + "," + _chunk_ctes("docs", "parser_status, doc_uri, last_modified") + """
+            , texts AS (SELECT DISTINCT chunk_id, content_chunked FROM docs_chunks),
+            """ + _weights_cte("w", "texts", "chunk_id", "content_chunked") + """
+            SELECT chunk_id, parser_status, doc_uri, last_modified, length(content_chunked) AS n_chars, slot,
+                   round(weight, 5) AS weight
+            FROM docs_chunks JOIN w USING (chunk_id)""",
+        "change_feed_replay": _SNAPSHOTS + """
+            SELECT chunk_id, content_chunked, doc_uri, last_modified FROM old WHERE doc_uri LIKE '%7'""",
+        "change_feed_counts": _SNAPSHOTS + """
+            , changed AS (
+              SELECT CASE WHEN old.chunk_id IS NULL THEN 'insert' WHEN new.chunk_id IS NULL THEN 'delete'
+                          WHEN old.doc_uri <> new.doc_uri OR old.last_modified <> new.last_modified THEN 'update' END AS kind
+              FROM old FULL JOIN new ON old.chunk_id = new.chunk_id)
+            SELECT 1 AS version, 'insert' AS change_type, count(*) AS n_rows FROM old
+            UNION ALL SELECT 2, kind, count(*) FROM changed WHERE kind IN ('insert', 'delete') GROUP BY kind
+            UNION ALL SELECT 2, 'update_' || image, count(*)
+            FROM changed, (SELECT unnest(['preimage', 'postimage']) AS image) WHERE kind = 'update' GROUP BY image""",
         "embed_only_new": _SNAPSHOTS + """
             SELECT chunk_id, content_chunked FROM new
             WHERE chunk_id NOT IN (SELECT chunk_id FROM old)""",
@@ -228,6 +281,8 @@ def all_oracles() -> dict[str, str]:
         "vector_topk_filtered": _neighbors_sql("b.label >= 5"),
         "vector_topk_approx_recall": """
             SELECT count(*) AS queries, true AS recall_reached, true AS scores_exact FROM embeddings""",
+        "chunk_neighbors_exact": _chunk_neighbors_sql(),
+        "chunk_neighbors_recall": _CHUNK_RECALL_SQL,
         "embed_hash": "WITH " + _weights_cte("w", "documents", "doc_id", "text") + """
             SELECT doc_id, slot, round(weight, 5) AS weight FROM w""",
         "code_allergies": _code_allergies_sql(),

@@ -15,9 +15,11 @@ from chartloom.functions.text import file_extension
 from chartloom.operators import changes, chunks, coding, conversations, documents, grouping
 from chartloom.operators import messages as msg
 from chartloom.operators import quality, similarity
+from chartloom.operators.vector_index import VectorIndex, build_index, compared_rows, open_index, topk_indexed, topk_pruned
+from chartloom.plans.documents import build_index as plan_index, store_document_tables
 from chartloom.schemas import MESSAGE_KEYS, SEGMENT_FIELD_NUMBERS
 from chartloom.session import read_table, scratch_folder
-from chartloom.sinks.tables import overwrite_folder
+from chartloom.sinks.change_feed import ChangeFeed, replayed
 from chartloom.sources.files import line_files
 from chartloom.sources.tables import stream_folder
 from chartloom.streaming import hops
@@ -91,8 +93,13 @@ def _allergies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _allergy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored allergy table, which lookups read with pushed-down filters."""
-    return overwrite_folder(_allergies(spark, sf_dir), scratch_folder(spark, "gold-al1"))
+    """The allergy table, laid out for lookups and stored once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "gold-al1")
+    if key not in _STORED:
+        path = scratch_folder(spark, "gold-al1")
+        coding.store_allergies(_allergies(spark, sf_dir), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
 # Messages
@@ -117,6 +124,15 @@ def gold_all(spark, sf_dir):
     )
 
 
+@_query
+def gold_all_fields(spark, sf_dir):
+    """Every segment with a sum of its whole field map, entries in order of their names."""
+    entries = F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return msg.explode_segments(_flat(spark, sf_dir)).select(
+        *MESSAGE_KEYS, "segment_id", F.md5(F.array_join(F.sort_array(entries), "\n").cast("binary")).alias("fields_md5")
+    )
+
+
 def _segment_counts(segments: DataFrame) -> DataFrame:
     return segments.groupBy("segment_id").agg(
         F.count("*").alias("n_rows"), F.sum(F.size("fields")).alias("filled_fields")
@@ -280,6 +296,33 @@ def stream_index_sync(spark, sf_dir):
     )
 
 
+@_query
+def stream_index_compacted(spark, sf_dir):
+    """The change rows of two deliveries in twenty batches; the index log is folded in between."""
+    root = scratch_folder(spark, "index-batches")
+    old, new = _snapshot(spark, sf_dir, 1), _snapshot(spark, sf_dir, 2)
+    changed = f"{root}/changes"
+    for delivery in (changes.diff_snapshots(old.limit(0), old), changes.diff_snapshots(old, new)):
+        delivery.repartition(10, F.xxhash64("chunk_id")).write.mode("append").parquet(changed)
+    rows = stream_folder(spark, changed, spark.read.parquet(changed).schema, per_trigger=1)
+    hops.sync_index_stream(
+        rows, f"{root}/index", f"{root}/checkpoint", lambda df: with_embedding(df, token_hash=md5_number),
+        buckets=8, compact_every=6,
+    )
+    return hops.read_index(spark, f"{root}/index").select("chunk_id", "content_chunked")
+
+
+@_query
+def stream_assemble_complete(spark, sf_dir):
+    """Message lines that arrive one of each file at a time; a text is written when its file is complete."""
+    root = scratch_folder(spark, "complete")
+    lines = samples.supplier_lines(spark, sf_dir)
+    for number in (2, 0, 1):
+        lines.filter(F.col("line_no") == number).coalesce(1).write.mode("append").parquet(f"{root}/lines")
+    stream = stream_folder(spark, f"{root}/lines", lines.schema, per_trigger=1)
+    return hops.assemble_complete_stream(stream, f"{root}/texts", f"{root}/checkpoint")
+
+
 # Documents
 
 
@@ -450,6 +493,42 @@ def index_kept(spark, sf_dir):
     return changes.kept_rows(old, new).select("chunk_id", "content_chunked")
 
 
+@_query
+def document_index(spark, sf_dir):
+    """Files to parsed table, gate, chunks with all carried columns and index: a row for each chunk of
+    each document and nonzero slot of its vector."""
+    root = scratch_folder(spark, "document-index")
+    files = samples.document_files(spark, sf_dir)
+    cut = lambda docs: chunks.chunk_fixed(docs, CHUNK_SIZE, CHUNK_OVERLAP)
+    _, cut_docs = store_document_tables(files, root, cut, max_failed_percent=100, max_empty_percent=100)
+    index = plan_index(cut_docs, root, 1, embed=lambda df: with_embedding(df, token_hash=md5_number))
+    time = F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("last_modified")
+    slots = index.select("chunk_id", F.posexplode("embedding").alias("slot", "weight")).filter(F.col("weight") != 0)
+    return cut_docs.select("chunk_id", "parser_status", "doc_uri", time, F.length("content_chunked").alias("n_chars")).join(slots, "chunk_id").withColumns(
+        {"slot": F.col("slot").cast("bigint"), "weight": F.round(F.col("weight").cast("double"), 5)}
+    )
+
+
+@_query
+def change_feed_replay(spark, sf_dir):
+    """Three versions of the chunk table in a change feed: the last one rebuilt from the changes."""
+    feed = ChangeFeed(spark, scratch_folder(spark, "feed"), "chunk_id")
+    first, second = _snapshot(spark, sf_dir, 1), _snapshot(spark, sf_dir, 2)
+    for snapshot in (first, second, first.filter(F.col("doc_uri").endswith("7"))):
+        feed.commit(snapshot)
+    time = F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("last_modified")
+    return replayed(feed.changes(1, 3), "chunk_id").select("chunk_id", "content_chunked", "doc_uri", time)
+
+
+@_query
+def change_feed_counts(spark, sf_dir):
+    """Rows of each kind in each version of the feed, pre- and post-images of updates included."""
+    feed = ChangeFeed(spark, scratch_folder(spark, "feed"), "chunk_id")
+    for version in (1, 2):
+        feed.commit(_snapshot(spark, sf_dir, version))
+    return feed.changes(1, 2).groupBy("version", "change_type").agg(F.count("*").alias("n_rows"))
+
+
 # Vectors
 
 
@@ -498,6 +577,70 @@ def vector_topk_approx_recall(spark, sf_dir):
     )
 
 
+# Vector index
+
+
+def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct chunks of all documents with their embeddings, and the first document of each."""
+
+    def build(spark, sf_dir):
+        keyed = changes.collapse_keys(_chunks(spark, sf_dir))
+        return with_embedding(keyed, token_hash=md5_number).select("chunk_id", "doc_id", "embedding")
+
+    return _stored(spark, sf_dir, "chunk-vectors", build)
+
+
+def _chunk_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    key = (spark.sparkContext.applicationId, sf_dir, "chunk-index")
+    if key not in _STORED:
+        path = scratch_folder(spark, "chunk-index")
+        build_index(_chunk_vectors(spark, sf_dir), path, neighbors=NEIGHBORS)
+        _STORED[key] = path
+    return open_index(spark, _STORED[key])
+
+
+def _chunk_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: chunks of documents whose id is divisible by 100."""
+    asked = _chunk_vectors(spark, sf_dir).filter(F.col("doc_id") % 100 == 0)
+    return asked.select(F.col("chunk_id").alias("query_id"), "embedding")
+
+
+@_query
+def chunk_neighbors_approx(spark, sf_dir):
+    """Nearest chunks in the probed cells, with the share of all chunks that each query was compared with."""
+    index, asked = _chunk_index(spark, sf_dir), _chunk_queries(spark, sf_dir)
+    found = similarity.without_self(topk_indexed(asked, index, NEIGHBORS + 1), NEIGHBORS, "query_id", "chunk_id")
+    share = compared_rows(asked, index, NEIGHBORS + 1).select(
+        "query_id", (F.col("compared") / int(index.rows.sum())).alias("compared_share")
+    )
+    return found.join(share, "query_id")
+
+
+@_query
+def chunk_neighbors_exact(spark, sf_dir):
+    """Nearest chunks of all; cells that can't hold one are left out."""
+    index, asked = _chunk_index(spark, sf_dir), _chunk_queries(spark, sf_dir)
+    return similarity.without_self(topk_pruned(asked, index, NEIGHBORS + 1), NEIGHBORS, "query_id", "chunk_id")
+
+
+@_query
+def chunk_neighbors_recall(spark, sf_dir):
+    """Of the search in cells: its queries, whether 0.9 of the exact neighbors are found, whether less than
+    a fifth of the chunks was compared for it, and whether its scores are exact."""
+    index, asked = _chunk_index(spark, sf_dir), _chunk_queries(spark, sf_dir)
+    near = similarity.without_self(topk_indexed(asked, index, NEIGHBORS + 1), NEIGHBORS, "query_id", "chunk_id")
+    exact = similarity.without_self(
+        similarity.topk_similar(asked, _chunk_vectors(spark, sf_dir), NEIGHBORS + 1), NEIGHBORS, "query_id", "chunk_id"
+    )
+    both = exact.join(near.select("query_id", "chunk_id", F.col("score").alias("near_score")), ["query_id", "chunk_id"], "left")
+    share = compared_rows(asked, index, NEIGHBORS + 1).agg((F.avg("compared") / int(index.rows.sum())).alias("share"))
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"),
+        (F.count("near_score") / F.count("*") >= 0.9).alias("recall_reached"),
+        F.coalesce(F.max(F.abs(F.col("near_score") - F.col("score"))) < 1e-9, F.lit(True)).alias("scores_exact"),
+    ).join(share.select((F.col("share") < 0.2).alias("share_below_fifth")))
+
+
 @_query
 def embed_hash(spark, sf_dir):
     """Weights of the hashed embedding of every document, one row per nonzero slot."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chartloom.operators.chunks import CHUNK_KEY, CHUNK_TEXT
+from chartloom.operators.chunks import CHUNK_KEY, CHUNK_TEXT, all_but
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
 
@@ -52,10 +52,14 @@ def diff_snapshots(old: DataFrame, new: DataFrame, key: str = CHUNK_KEY) -> Data
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, key: str = CHUNK_KEY) -> DataFrame:
-    """The table after its changes: untouched rows and the new rows of inserts and updates."""
-    untouched = table.join(changes.select(key), key, "left_anti")
-    fresh = changes.filter(F.col("change_type") != DELETE).select(table.columns)
-    return untouched.unionByName(fresh)
+    """The table after its changes, in one join: a changed key takes its new row or leaves, the others
+    stay. ``changes`` holds each key once."""
+    new = changes.select(F.col(key).alias("__key"), F.struct("change_type", *all_but(table, key)).alias("__new"))
+    joined = table.join(new, table[key] == new["__key"], "full_outer")
+    changed = F.col("__new").isNotNull()
+    columns = [F.when(changed, F.col("__new")[c]).otherwise(F.col(c)).alias(c) for c in table.columns if c != key]
+    kept = joined.filter(~changed | (F.col("__new.change_type") != DELETE))
+    return kept.select(F.coalesce(F.col(key), F.col("__key")).alias(key), *columns).select(*table.columns)
 
 
 def rows_to_embed(chunks: DataFrame, index: DataFrame, key: str = CHUNK_KEY) -> DataFrame:

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from chartloom.operators.similarity import topk_similar
+from chartloom.sinks.tables import lookup_folder
 
 ALLERGY_TEXT = "AL1_3"
 
 
+def store_allergies(allergies: DataFrame, path: str) -> DataFrame:
+    """The allergy table laid out for lookups of single patients."""
+    return lookup_folder(allergies, path, "patient_id")
+
+
 def allergies_of(allergies: DataFrame, patient_id: str) -> DataFrame:
     """Allergy rows of one patient."""
     return allergies.filter(F.col("patient_id") == patient_id).select("AL1_1", "AL1_2", ALLERGY_TEXT)

@@ -45,6 +45,15 @@ def _last_line(marks: Column, segment: str) -> Column:
     return F.when(F.contains(marks[_GOOD], start), _split_fields(line, marks[_SEP]))
 
 
+def _fault(whole: Column) -> Column:
+    """What is wrong with a text that has a carriage return before its first line; NULL if nothing is."""
+    return (
+        F.when(whole.isNull(), NO_TEXT)
+        .when(F.length(whole) <= SHORTEST_MESSAGE, TOO_SHORT)
+        .when(~whole.startswith("\r" + HEADER), NO_HEADER)
+    )
+
+
 def _message_head(text: Column) -> Column:
     """Struct of fault, separators, readable text and header values of a message text.
 
@@ -57,11 +66,7 @@ def _message_head(text: Column) -> Column:
 
     def from_text(whole: Column) -> Column:
         separator, repetition = F.substring(whole, 5, 1), F.substring(whole, 7, 1)
-        fault = (
-            F.when(whole.isNull(), NO_TEXT)
-            .when(F.length(whole) <= SHORTEST_MESSAGE, TOO_SHORT)
-            .when(~whole.startswith("\r" + HEADER), NO_HEADER)
-        )
+        fault = _fault(whole)
         usual = (repetition == separator) | repetition.isin("", "\r")
         marks = F.struct(
             fault.alias(_FAULT),
@@ -288,9 +293,9 @@ def text_faults(
     messages: DataFrame, text: str = "value", provenance: Iterable[str] = ()
 ) -> DataFrame:
     """The same rows straight from message text; looks at the start of each text only."""
-    return with_head(messages, text).filter(F.col(_FAULT).isNotNull()).select(
-        *provenance, F.col(_FAULT).alias("error_text")
-    )
+    start = F.substring(F.ltrim(F.col(text), F.lit(BLANKS)), 1, SHORTEST_MESSAGE + 1)
+    faults = messages.select(*provenance, _fault(F.concat(F.lit("\r"), start)).alias("error_text"))
+    return faults.filter(F.col("error_text").isNotNull())
 
 
 def readable_messages(flat: DataFrame) -> DataFrame:

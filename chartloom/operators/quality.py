@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from chartloom.functions.text import percentage
 from chartloom.operators.documents import SUCCESS
@@ -12,15 +14,25 @@ class QualityError(RuntimeError):
     """Too many documents failed to parse or came out empty."""
 
 
-def quality_summary(docs: DataFrame) -> DataFrame:
-    """One row with all counts and shares, from one pass over status and emptiness."""
+def _counts() -> list[Column]:
     status = F.col("parser_status")
-    counts = docs.agg(
+    return [
         F.count("*").alias("documents"),
         F.count_if(status == SUCCESS).alias("parsed"),
         F.count_if(status != SUCCESS).alias("failed"),
         F.count_if((status == SUCCESS) & (F.col("content") == "")).alias("empty"),
-    )
+    ]
+
+
+def observe_quality(docs: DataFrame, name: str = "parsed documents") -> tuple[DataFrame, Observation]:
+    """The documents, and counts that the first job over them gathers as it goes."""
+    observation = Observation(name)
+    return docs.observe(observation, *_counts()), observation
+
+
+def quality_summary(docs: DataFrame) -> DataFrame:
+    """One row with all counts and shares, from one pass over status and emptiness."""
+    counts = docs.agg(*_counts())
     total = F.col("documents")
     return counts.select(
         "*",
@@ -30,17 +42,19 @@ def quality_summary(docs: DataFrame) -> DataFrame:
     )
 
 
+def check_counts(counts: Mapping[str, int], max_failed_percent: float = 0.0, max_empty_percent: float = 0.0) -> None:
+    """Raise when a share of faults is above its limit. A limit of 0 allows no faulty document at all."""
+    total = counts["documents"]
+    for kind, limit in (("failed", max_failed_percent), ("empty", max_empty_percent)):
+        found = counts[kind]
+        if found and found * 100.0 / total > limit:
+            raise QualityError(f"{found} of {total} documents {kind}: {round(found / total, 2) * 100}%")
+
+
 def quality_gate(
     docs: DataFrame, max_failed_percent: float = 0.0, max_empty_percent: float = 0.0
 ) -> DataFrame:
-    """Pass the documents on, or raise when a share of faults is above its limit.
-
-    A limit of 0 allows no faulty document at all. Reads one aggregate row; give it stored
-    documents, so that the parse does not run twice.
-    """
-    row = quality_summary(docs).first()
-    for kind, limit in (("failed", max_failed_percent), ("empty", max_empty_percent)):
-        found, total = row[kind], row["documents"]
-        if found and found * 100.0 / total > limit:
-            raise QualityError(f"{found} of {total} documents {kind}: {row[kind + '_percent']}%")
+    """Pass stored documents on, or raise as ``check_counts`` does, from one aggregate over them. A job that
+    writes them can gather the counts itself, see ``observe_quality``."""
+    check_counts(quality_summary(docs).first().asDict(), max_failed_percent, max_empty_percent)
     return docs

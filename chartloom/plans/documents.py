@@ -11,7 +11,7 @@ from chartloom.functions.embedding import with_embedding
 from chartloom.operators.changes import collapse_keys, sync_index
 from chartloom.operators.chunks import CHUNK_TEXT, apply_chunker
 from chartloom.operators.documents import parse_files, spread
-from chartloom.operators.quality import quality_gate
+from chartloom.operators.quality import check_counts, observe_quality
 from chartloom.sinks.tables import overwrite_folder
 from chartloom.sources.files import binary_files
 
@@ -27,13 +27,30 @@ def build_document_tables(
     max_failed_percent: float = 0.0,
     max_empty_percent: float = 0.0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Parsed documents and chunks, each stored before the next stage reads it."""
+    """Parsed documents and chunks of a folder of files; see ``store_document_tables``."""
     files = spread(binary_files(spark, source, require_any=True), partitions)
-    docs = overwrite_folder(parse_files(files, hooks), f"{target}/parsed_docs")
-    quality_gate(docs, max_failed_percent, max_empty_percent)
     chunker = recursive_chunker(size, overlap)
-    chunks = overwrite_folder(apply_chunker(docs, chunker), f"{target}/chunked_docs")
-    return docs, chunks
+    return store_document_tables(
+        files, target, lambda docs: apply_chunker(docs, chunker), hooks, max_failed_percent, max_empty_percent
+    )
+
+
+def store_document_tables(
+    files: DataFrame,
+    target: str,
+    cut: Callable[[DataFrame], DataFrame],
+    hooks: Mapping[str, Callable[[bytes], str]] | None = None,
+    max_failed_percent: float = 0.0,
+    max_empty_percent: float = 0.0,
+) -> tuple[DataFrame, DataFrame]:
+    """Parsed documents and chunks of file rows, each stored before the next stage reads it.
+
+    The job that writes the documents counts the faults, so the gate before the chunks reads nothing.
+    """
+    parsed, counts = observe_quality(parse_files(files, hooks))
+    docs = overwrite_folder(parsed, f"{target}/parsed_docs")
+    check_counts(counts.get, max_failed_percent, max_empty_percent)
+    return docs, overwrite_folder(cut(docs), f"{target}/chunked_docs")
 
 
 def embed_chunks(chunks: DataFrame) -> DataFrame:

@@ -138,6 +138,14 @@ def supplier_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(file_path, line_no, n_lines, value)``: the same messages as lines."""
+    lines = F.split("value", "\n")
+    return supplier_messages(spark, sf_dir).select(
+        F.col("name").alias("file_path"), F.size(lines).cast("long").alias("n_lines"), F.posexplode(lines).alias("line_no", "value")
+    ).select("file_path", F.col("line_no").cast("long").alias("line_no"), "n_lines", "value")
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, modificationTime, length, content)``, one row per document, as a file scan gives."""
     doc = F.col("doc_id")

@@ -26,6 +26,25 @@ def overwrite_folder(df: DataFrame, path: str, partition_by: str | None = None)
     return df.sparkSession.read.parquet(path)
 
 
+def lookup_folder(df: DataFrame, path: str, key: str, row_group_bytes: int = 16 << 20) -> DataFrame:
+    """Replace a parquet folder laid out for lookups by ``key`` and read it back.
+
+    Files hold ranges of the key and are sorted by it, so the statistics of files and row groups leave one or
+    two of them for a value; bloom filters leave none for values that are missing. A hash of the other
+    columns is part of the range, so a value that holds much of the table is spread over several files.
+    """
+    others = [F.col(c) for c in df.columns if c != key and df.schema[c].dataType.typeName() != "map"]
+    (
+        df.repartitionByRange(F.col(key), F.xxhash64(*others))
+        .sortWithinPartitions(key)
+        .write.mode("overwrite")
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option("parquet.block.size", row_group_bytes)
+        .parquet(path)
+    )
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def start_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to a parquet folder: what is there now, then stop."""
     return (

@@ -17,7 +17,9 @@ from chartloom.operators.messages import (
     explode_segments, flatten_messages, of_kind, parse_messages, segment_table, typed_segments, with_kind,
 )
 from chartloom.schemas import SEGMENT_FIELD_NUMBERS
+from chartloom.sinks.index_store import BUCKETS, IndexStore
 from chartloom.sinks.tables import overwrite_folder, read_batch_folders, start_append, write_batch_folder
+from chartloom.streaming.assembly import FileAssembler
 from chartloom.sources.files import LINE_ORDER, message_files, number_lines
 from chartloom.sources.tables import stream_folder
 
@@ -139,30 +141,36 @@ def assembled(spark: SparkSession, path: str) -> DataFrame:
     return latest_by_key(read_batch_folders(spark, path), "file_path")
 
 
-INDEX_LOG_SCHEMA = "change_type string, chunk_id string, content_chunked string, embedding array<float>, batch_id int"
+INDEX_LOG_SCHEMA = "change_type string, chunk_id string, content_chunked string, embedding array<float>"
+
+
+def index_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> IndexStore:
+    return IndexStore(spark, path, INDEX_LOG_SCHEMA, CHUNK_KEY, buckets)
 
 
 def sync_index_stream(
-    chunks: DataFrame, path: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame]
+    chunks: DataFrame, path: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame],
+    buckets: int = BUCKETS, compact_every: int = 8,
 ) -> None:
     """Keep an index in step with a stream of chunks, or of change rows of a chunk table.
 
     A key is its content's hash, so only keys that the index lacks are embedded, and an update of other
     columns needs nothing; rows of type ``delete`` take their keys out. Within a batch a key that is
-    still inserted or updated stays. Every batch adds one folder to the index log; a retried batch
-    leaves its own folder out of what it compares with and replaces it.
+    still inserted or updated stays. A batch compares its keys with their buckets of the index only; a
+    retried batch leaves its own changes out and replaces them. After ``compact_every`` batches the log
+    is folded into a new base.
     """
     spark = chunks.sparkSession
     changing = "change_type" in chunks.columns
+    store = index_store(spark, path, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if store.behind(batch_id) >= compact_every:
+            store.compact(batch_id)
         delivered = batch.filter(F.col("change_type") != DELETE) if changing else batch
         source = collapse_keys(delivered.select(CHUNK_KEY, CHUNK_TEXT), CHUNK_KEY)
-        unknown = source
-        if batch_id > 0:
-            log = spark.read.schema(INDEX_LOG_SCHEMA).parquet(path)
-            unknown = rows_to_embed(source, latest_by_key(log.filter(F.col("batch_id") < batch_id), CHUNK_KEY))
-        rows = embed(unknown).select(
+        known = store.current(batch_id, store.buckets_of(delivered))
+        rows = embed(rows_to_embed(source, known)).select(
             F.lit(INSERT).alias("change_type"), CHUNK_KEY, CHUNK_TEXT, F.col("embedding").cast("array<float>").alias("embedding")
         )
         if changing:
@@ -172,10 +180,44 @@ def sync_index_stream(
                 F.lit(None).cast("array<float>").alias("embedding"),
             )
             rows = rows.unionByName(gone)
-        write_batch_folder(rows, path, batch_id)
+        store.write_batch(rows, batch_id)
 
     run_batches(chunks, write, checkpoint)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return latest_by_key(spark.read.schema(INDEX_LOG_SCHEMA).parquet(path), CHUNK_KEY)
+    """The rows after the last batch whose changes are there."""
+    store = index_store(spark, path)
+    return store.current(store.batches())
+
+
+def assemble_complete_stream(
+    lines: DataFrame, path: str, checkpoint: str, separator: str = "\r", quiet_ms: int | None = None
+) -> DataFrame:
+    """Message texts of files whose lines come in any order and in several batches, each written once.
+
+    ``lines`` are ``(file_path, line_no, n_lines, value)``. A file's lines wait in a list state; when
+    ``n_lines`` different ones are there, or, with ``quiet_ms``, when none came for so long, the text is
+    written and the state is freed, so it holds open files only. A line that comes twice counts once; lines
+    that come after their file was written begin it anew and are not written until they are complete. A file
+    that went quiet has ``complete`` false. The state lies in RocksDB under the checkpoint.
+    """
+    spark = lines.sparkSession
+    texts = (
+        lines.select("file_path", "line_no", "n_lines", "value")
+        .groupBy("file_path")
+        .transformWithState(
+            statefulProcessor=FileAssembler(separator, quiet_ms),
+            outputStructType="file_path string, value string, complete boolean",
+            outputMode="Append",
+            timeMode="ProcessingTime" if quiet_ms else "None",
+        )
+    )
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        start_append(texts, path, checkpoint).awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(texts.schema).parquet(path)

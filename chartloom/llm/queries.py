@@ -75,7 +75,12 @@ def op5_language_id(spark, sf_dir):
 
 @_query
 def op7_fingerprints(spark, sf_dir):
-    return fingerprint_edits(read_table(spark, sf_dir, "documents"))
+    """Fingerprints as ``position:hash`` of the kept runs, joined by blanks; the operator gives arrays."""
+    shown = lambda name: F.array_join(
+        F.transform(name, lambda run: F.concat_ws(":", run["position"].cast("string"), run["hash"].cast("string"))), " "
+    )
+    prints = fingerprint_edits(read_table(spark, sf_dir, "documents"))
+    return prints.withColumns({name: shown(name) for name in ("fingerprint", "edited_fingerprint")})
 
 
 @_query

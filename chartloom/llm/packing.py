@@ -28,9 +28,10 @@ CAPACITY = 2_048
 ROUNDS = 150
 SOLUTIONS = 3
 STEP = 0.125
-#: Power of a piece's length in its worth, and how full a configuration must be to be used.
+#: Power of a piece's length in its worth.
 LONGER = 1.05
-FULL = 0.999
+#: How full a configuration must be to be used; the one that leaves the fewest sequences is taken.
+FULL = (0.999, 0.995, 0.99, 0.98, 0.96, 0.9)
 
 Configuration = tuple[tuple[int, int], ...]  # (length, pieces of it), longest first
 
@@ -60,8 +61,8 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int
     return dict(taken)
 
 
-def _solve(left: dict[int, int], capacity: int, rounds: int) -> list[tuple[Configuration, int]]:
-    """Whole sequences of configurations, within what is left."""
+def _shares(left: dict[int, int], capacity: int, rounds: int) -> list[tuple[Configuration, float]]:
+    """Configurations and how many sequences of each the program asks for, most first."""
     lengths = np.array(sorted(l for l, n in left.items() if n >= capacity // l and n > 1), np.int64)
     if not len(lengths):
         return []
@@ -80,11 +81,16 @@ def _solve(left: dict[int, int], capacity: int, rounds: int) -> list[tuple[Confi
         covered[at] += share * many / counts[at]
         weights[at] *= np.exp(-STEP * share * many / counts[at])
     scale = float((covered * counts * lengths).sum() / (counts * lengths).sum())
+    return sorted(((c, share / max(scale, 1.0)) for c, share in shares.items()), key=lambda x: (-x[1], x[0]))
+
+
+def _rounded(shares: list[tuple[Configuration, float]], left: dict[int, int], capacity: int, full: float) -> list[tuple[Configuration, int]]:
+    """Whole sequences of the configurations that are full enough, within what is left, which they use up."""
     solution = []
-    for configuration, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
-        if sum(length * many for length, many in configuration) < FULL * capacity:
-            continue  # best fit does better with these
-        whole = min([int(share / max(scale, 1.0)), *(left[l] // many for l, many in configuration)])
+    for configuration, share in shares:
+        if sum(length * many for length, many in configuration) < full * capacity:
+            continue
+        whole = min([int(share), *(left[l] // many for l, many in configuration)])
         if whole > 0:
             solution.append((configuration, whole))
             for length, many in configuration:
@@ -126,12 +132,42 @@ def solve_histogram(
     solution = []
     if left.get(capacity):
         solution.append((((capacity, 1),), left.pop(capacity)))
-    for _ in range(SOLUTIONS):
-        found = _solve(left, capacity, rounds)
-        if not found:
-            break
-        solution += found
-    return solution + _best_fit(left, capacity)
+    shares = _shares(left, capacity, rounds)
+    tries = []
+    for full in FULL if shares else ():
+        rest = dict(left)
+        found = _rounded(shares, rest, capacity, full)
+        tries.append((sequences(found) + sequences(_best_fit(rest, capacity)), -full, found, rest))
+    found, rest, plain = [], left, _best_fit(dict(left), capacity)
+    if tries:
+        _, full, found, rest = min(tries, key=lambda x: x[:2])
+        one = found + _best_fit(dict(rest), capacity)
+        for _ in range(SOLUTIONS - 1):
+            more = _rounded(_shares(rest, capacity, rounds), rest, capacity, -full)
+            if not more:
+                break
+            found += more
+        plain = min(found + _best_fit(dict(rest), capacity), one, plain, key=sequences)
+    return solution + plain
+
+
+def sequences(solution: list[tuple[Configuration, int]]) -> int:
+    return sum(many for _, many in solution)
+
+
+def least_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A bound that no packing goes below: by tokens, and by pieces of more than half a sequence, to which only
+    pieces that still fit are added."""
+    total = sum(length * n for length, n in histogram.items())
+    best = -(-total // capacity)
+    # Pieces longer than capacity - a are alone with pieces up to a; those over half are one to a sequence.
+    for a in range(0, capacity // 2 + 1, max(1, capacity // 64)):
+        alone = sum(n for length, n in histogram.items() if length > capacity - a)
+        halves = sum(n for length, n in histogram.items() if capacity // 2 < length <= capacity - a)
+        room = halves * capacity - sum(length * n for length, n in histogram.items() if capacity // 2 < length <= capacity - a)
+        small = sum(length * n for length, n in histogram.items() if a <= length <= capacity // 2)
+        best = max(best, alone + halves + max(0, -(-(small - room) // capacity)))
+    return best
 
 
 def _pieces(path: str, kind: str, capacity: int, end_id: int):

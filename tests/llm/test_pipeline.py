@@ -30,3 +30,30 @@ def test_odd_documents(spark, sf_dir, make_docs, rows):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.select("doc_id").distinct().count() == (1 if rows else 0)
+
+
+def passage(word, n=80):
+    return " ".join(f"{word}{i} und der die" for i in range(n // 4))
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, sf_dir, make_docs):
+    repeat, clean = passage("lied"), passage("anders", 100)
+    docs = make_docs([(1, repeat + " " + passage("eins")), (2, repeat + " " + passage("zwei")), (2, clean), (None, clean + " mehr")])
+    rows = [(r.doc_id, r.text) for r in corpus_pipeline.substring_dedup(spark, docs, sf_dir).collect()]
+    assert (2, clean) in rows  # its namesake's passage is not cut from it
+    assert sum(repeat in text for _, text in rows) == 1
+
+
+def test_leaks_go_whatever_their_id(spark, sf_dir, make_docs):
+    item = max((r.text for r in read_table(spark, sf_dir, "benchmark").collect()), key=len)
+    clean = passage("ruhig", 200)
+    docs = make_docs([(None, clean + " " + item + " " + clean), (3, clean), (3, item), (None, clean), (4, None)])
+    rows = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.decontamination(spark, docs, sf_dir).where("text is not null").collect())
+    assert rows == [(0, clean), (3, clean)]
+
+
+def test_near_copies_without_ids_keep_one(spark, sf_dir, make_docs):
+    text = passage("kopie", 200)
+    docs = make_docs([(None, text), (5, text), (5, passage("neu", 60)), (7, text), (None, passage("frei", 60)), (None, passage("frei", 60))])
+    rows = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, docs, sf_dir).collect()]
+    assert sorted(rows, key=str) == sorted([(7, text), (5, passage("neu", 60)), (None, passage("frei", 60))], key=str)

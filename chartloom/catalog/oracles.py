@@ -234,6 +234,10 @@ def all_oracles() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM (
               SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS word FROM documents)
             WHERE word <> '' GROUP BY doc_id""",
+        "chunk_recursive_order": """
+            SELECT doc_id, md5(array_to_string(words, ' ')) AS words_md5 FROM (
+              SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS words FROM documents)
+            WHERE len(words) > 0""",
         "chunk_recursive_sizes": """
             SELECT count(*) AS documents, 0::BIGINT AS oversize FROM documents WHERE text <> ''""",
         "chunk_oversize": _CHUNKS + f"""

@@ -436,6 +436,16 @@ def chunk_recursive_words(spark, sf_dir):
     )
 
 
+@_query
+def chunk_recursive_order(spark, sf_dir):
+    """Without overlap the chunks of a document hold its words in their order."""
+    cut = chunks.apply_chunker(_documents(spark, sf_dir), recursive_chunker(RECURSIVE_SIZE), position="position")
+    words = F.filter(F.split("content_chunked", r"\s+"), lambda word: word != "")
+    entries = F.sort_array(F.collect_list(F.struct("position", words.alias("words"))))
+    joined = cut.groupBy("doc_id").agg(F.flatten(F.transform(entries, lambda e: e["words"])).alias("words"))
+    return joined.select("doc_id", F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5"))
+
+
 @_query
 def chunk_recursive_sizes(spark, sf_dir):
     """Documents that have chunks, and how many chunks are above the size."""

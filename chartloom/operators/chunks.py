@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chartloom.functions.chunking import check_chunk_sizes, word_windows, words
@@ -16,9 +17,11 @@ def all_but(df: DataFrame, *left_out: str) -> list[str]:
     return [c for c in df.columns if c not in left_out]
 
 
-def _keyed_chunks(docs: DataFrame, chunks: Column, carried: list[str]) -> DataFrame:
-    exploded = docs.select(*carried, F.explode(chunks).alias(CHUNK_TEXT))
-    return exploded.select(F.md5(CHUNK_TEXT).alias(CHUNK_KEY), CHUNK_TEXT, *carried)
+def _keyed_chunks(docs: DataFrame, chunks: Column, carried: list[str], position: str | None = None) -> DataFrame:
+    """With ``position`` the place of each chunk in its document is a column of that name."""
+    generated = F.posexplode(chunks).alias(position, CHUNK_TEXT) if position else F.explode(chunks).alias(CHUNK_TEXT)
+    placed = [position] if position else []
+    return docs.select(*carried, generated).select(F.md5(CHUNK_TEXT).alias(CHUNK_KEY), CHUNK_TEXT, *carried, *placed)
 
 
 def chunk_fixed(
@@ -32,16 +35,16 @@ def chunk_fixed(
 
 def apply_chunker(
     docs: DataFrame, chunker: Callable[[str], list[str]],
-    carried: Iterable[str] | None = None, column: str = "content",
+    carried: Iterable[str] | None = None, column: str = "content", position: str | None = None,
 ) -> DataFrame:
     """Any function from text to chunks, run over Arrow batches."""
     names = all_but(docs, column) if carried is None else list(carried)
 
-    def cut(text):
-        return None if text is None else chunker(text)
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if text is None else chunker(text) for text in texts.to_pylist()], pa.list_(pa.string()))
 
-    run = F.udf(cut, "array<string>", useArrow=True)
-    return _keyed_chunks(docs, run(column), names)
+    return _keyed_chunks(docs, cut(column), names, position)
 
 
 def oversize_chunks(

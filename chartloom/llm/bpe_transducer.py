@@ -22,8 +22,8 @@ from collections.abc import Iterable
 import numpy as np
 
 #: A state takes about 250 bytes with its moves, a pair 100.
-MOST_STATES = 400_000
-MOST_PAIRS = 300_000
+MOST_STATES = 250_000
+MOST_PAIRS = 200_000
 NEVER = 1 << 62
 ROOT = 0
 #: A path is the number of the token before it plus one (0: none) and 24 bits of its node; a move is the next

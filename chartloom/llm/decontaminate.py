@@ -3,14 +3,17 @@
 Texts become numbers of the benchmark's words (all others are one unknown word), stored once; document
 frequencies are counted over all of them. The TF-IDF passages of the benchmark are factorised by a
 distributed randomised SVD: tasks multiply their passages with a random basis, the driver orthonormalises
-the sums. Every window of every text is projected to that space and compared with every benchmark item;
+the sums, and the rank grows until the space holds a stated share of the passages' norm. Every window of every
+text is projected to that space and compared with every benchmark item, long ones passage by passage;
 candidates by cosine, and by runs of words that they share, are checked by the longest common subsequence of words with the item, and by the
 item's answer, its last sentence, so that paraphrases with words changed are found and chance is not.
+A benchmark of any size is searched in parts of a bounded number of words, each with a space of its own.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from chartloom.llm.common import slices, small_batches, stored, text_of
 
 BLOCK = 16  # words; a window is two blocks
-RANK = 128
+#: Least rank, doubled until the space holds this share of the squared norm of the passages.
+RANK, NORM_SHARE = 256, 0.8
 POWER_ROUNDS = 2
 COSINE = 0.15
 #: Words of a run that makes a candidate whatever its cosine is, and of how many runs of an item one has to be there.
@@ -27,8 +31,12 @@ COSINE = 0.15
 GRAM, ONE_OF = 3, 10
 #: Aligned share of an item's words that is a leak by itself, and with that share of its answer.
 SHARE, SHARE_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.5
-#: The benchmark goes to the driver and to all tasks; more items than this are refused.
-MOST_ITEMS, MOST_TERMS = 50_000, 300_000
+#: Items of up to so many words are one vector, longer ones one for each passage.
+WHOLE_ITEM = 4 * BLOCK
+#: Bytes of different item texts in a part, about; a part goes to the driver and to all tasks.
+PART_BYTES = 100_000
+#: Scores (4 bytes each) that a task holds at once.
+MOST_SCORES = 8_000_000
 
 
 def _words(text: str) -> list[bytes]:
@@ -105,8 +113,17 @@ def _add_up(batches):
         )
 
 
-def latent_basis(passages: DataFrame, idf: np.ndarray, kind: str, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the TF-IDF passages of ``words``, by randomised SVD."""
+def latent_basis(passages: DataFrame, n_passages: int, idf: np.ndarray, kind: str, rank: int = RANK, norm_share: float = NORM_SHARE) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the TF-IDF passages of ``words``, by randomised SVD; the rank
+    doubles until they hold ``norm_share`` of the squared norm, which is one for each passage."""
+    while True:
+        basis, held = _basis_of_rank(passages, idf, kind, rank)
+        if held >= norm_share * n_passages or rank >= min(len(idf), n_passages):
+            return basis
+        rank *= 2
+
+
+def _basis_of_rank(passages: DataFrame, idf: np.ndarray, kind: str, rank: int) -> tuple[np.ndarray, float]:
     n = len(idf)
     rank = min(rank, n)
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((n, rank)))[0]
@@ -122,7 +139,7 @@ def latent_basis(passages: DataFrame, idf: np.ndarray, kind: str, rank: int = RA
         previous, basis = basis, np.linalg.qr(product)[0]
     values, vectors = np.linalg.eigh(gram)
     order = np.argsort(-values)
-    return previous @ vectors[:, order[values[order] > 1e-9]]
+    return previous @ vectors[:, order[values[order] > 1e-9]], float(values.sum())
 
 
 def common_words(item: np.ndarray, region: np.ndarray, unknown: int) -> tuple[int, int, int]:
@@ -150,7 +167,7 @@ def common_words(item: np.ndarray, region: np.ndarray, unknown: int) -> tuple[in
 
 
 def _runs(ids: np.ndarray, size: int, unknown: int) -> np.ndarray:
-    """Each run of ``size`` words as one number: up to 300,002 words, so three fit."""
+    """Each run of ``size`` words as one number: three fit for two million different words."""
     total = ids[: max(0, len(ids) - size + 1)].astype(np.int64)
     for j in range(1, size):
         total = total * (unknown + 2) + ids[j : len(ids) - size + 1 + j]
@@ -195,9 +212,19 @@ def _sharing(ids: np.ndarray, tables, needed, unknown: int) -> tuple[np.ndarray,
     return places[enough], found[enough]
 
 
-def _search(projection, weights2, items, latent, kind, unknown, cosine):
+def _search(projection, weights2, items, latent, item_of, kind, unknown, cosine):
+    """``latent`` holds the items' vectors, ``item_of`` the item of each."""
     rank = projection.shape[1]
     tables, needed = shared_runs([words for words, _ in items], unknown)
+    step = min(4_096, max(64, MOST_SCORES // max(1, len(latent))))
+    met = np.zeros(unknown + 2, bool)
+
+    def can_share(words: np.ndarray, region: np.ndarray) -> bool:
+        """Whether the region has enough of the item's words for a leak, in any order."""
+        met[region] = True
+        many = int(met[words].sum())
+        met[region] = False
+        return many >= SHARE_WITH_ANSWER * len(words)
 
     def leaks(ids: np.ndarray):
         n = len(ids)
@@ -207,20 +234,21 @@ def _search(projection, weights2, items, latent, kind, unknown, cosine):
         hits: dict[int, list[tuple[float, int]]] = {}
         places, sharing = _sharing(ids, tables, needed, unknown)
         shared = np.unique(np.stack((np.minimum(places // BLOCK, blocks - 2), sharing)), axis=1)
-        for first in range(0, blocks - 1, 4_096):  # so that a huge text is never projected at once
-            last = min(first + 4_097, blocks)
+        for first in range(0, blocks - 1, step):  # so that a huge text is never projected at once
+            last = min(first + step + 1, blocks)
             part = padded[first * BLOCK : last * BLOCK]
             sums = projection[part].reshape(last - first, BLOCK, rank).sum(axis=1)
             mass = weights2[part].reshape(last - first, BLOCK).sum(axis=1)
             windows, norms = sums[:-1] + sums[1:], np.sqrt(np.maximum(mass[:-1] + mass[1:], 1e-12))
             scores = windows @ latent.T
             scores /= norms[:, None].astype(np.float32)
-            for window, item in zip(*np.nonzero(scores >= cosine)):
-                hits.setdefault(int(item), []).append((float(scores[window, item]), first + int(window)))
+            window, vector = np.nonzero(scores >= cosine)
+            for at, item, score in zip((first + window).tolist(), item_of[vector].tolist(), scores[window, vector].tolist()):
+                hits.setdefault(item, []).append((score, at))
             here = shared[:, (shared[0] >= first) & (shared[0] < last - 1)]
-            for window, item in zip((here[0] - first).tolist(), here[1].tolist()):
-                if scores[window, item] < cosine:
-                    hits.setdefault(item, []).append((float(scores[window, item]), first + window))
+            for at, item in zip(here[0].tolist(), here[1].tolist()):
+                of = np.searchsorted(item_of, (item, item + 1))
+                hits.setdefault(item, []).append((float(scores[at - first, of[0] : of[1]].max()), at))
         for item, windows in hits.items():
             words, answer = items[item]
             best = None
@@ -235,6 +263,8 @@ def _search(projection, weights2, items, latent, kind, unknown, cosine):
             for low, high, score in regions:
                 start = max(0, int(low) * BLOCK - len(words))
                 region = ids[start : int(high) * BLOCK + 2 * BLOCK + len(words)]
+                if not can_share(words, region):
+                    continue
                 common, begin, end = common_words(words, region, unknown)
                 share = common / len(words)
                 if share < SHARE_WITH_ANSWER:
@@ -274,6 +304,7 @@ def find_leaks(
 
     Null and empty texts hold nothing; null and empty items are held by nothing; null ids and repeated rows
     are searched like any other; an empty benchmark finds nothing. Other columns are not looked at.
+    ``rank`` is the least one of the latent space. The texts are read once for each part of the benchmark.
     """
     with small_batches(docs.sparkSession):
         return _find_leaks(docs, benchmark, id_column, text_column, item_column, item_text_column, cosine, rank)
@@ -285,16 +316,31 @@ def _find_leaks(docs, benchmark, id_column, text_column, item_column, item_text_
     item_type = benchmark.schema[item_column].dataType.simpleString()
     schema = f"{id_column} {id_type}, {item_column} {item_type}, lcs_share double, answer_share double, cosine double, start_word long, end_word long"
     rows = docs.select(F.col(id_column).alias("key"), text_of(text_column).alias("text"))
-    asked = benchmark.select(F.col(item_column), F.col(item_text_column)).where(F.col(item_text_column).isNotNull())
-    found = [(item, text, _words(text)) for item, text in asked.limit(MOST_ITEMS + 1).collect()]
-    if len(found) > MOST_ITEMS:
-        raise ValueError(f"a benchmark of more than {MOST_ITEMS} items: search it in parts")
-    found = [(item, text, words) for item, text, words in found if words]
-    vocabulary = {word: i for i, word in enumerate(sorted({w for _, _, words in found for w in words}))}
+    asked = benchmark.select(F.col(item_column).alias("name"), F.col(item_text_column).alias("text")).where("text is not null")
+    asked = stored(asked.withColumn("digest", F.sha2("text", 256)), "benchmark-items")
+    texts = stored(asked.select("digest", "text").dropDuplicates(["digest"]), "benchmark-texts")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, found = -(-size // PART_BYTES), []
+    for part in range(parts):
+        own = texts.where(F.pmod(F.xxhash64("digest"), F.lit(parts)) == part)
+        hits = _part_leaks(spark, rows, own, id_type, cosine, rank)
+        if hits is not None:
+            found.append(stored(hits, "part-leaks"))
     if not found:
         return spark.createDataFrame([], schema)
-    if len(vocabulary) > MOST_TERMS:
-        raise ValueError(f"a benchmark of more than {MOST_TERMS} words: search it in parts")
+    return reduce(DataFrame.unionByName, found).join(asked.select("digest", "name"), "digest").select(
+        F.col("key").alias(id_column), F.col("name").alias(item_column), F.round("share", 6).alias("lcs_share"),
+        F.round("answer", 6).alias("answer_share"), F.round("cosine", 4).alias("cosine"), "start_word", "end_word",
+    )
+
+
+def _part_leaks(spark, rows, texts, id_type, cosine, rank) -> DataFrame | None:
+    """``key, digest, share, answer, cosine, start_word, end_word`` of the leaks of a part of the item texts."""
+    found = sorted((digest, text, _words(text)) for digest, text in texts.collect())  # about PART_BYTES
+    found = [(digest, text, words) for digest, text, words in found if words]
+    if not found:
+        return None
+    vocabulary = {word: i for i, word in enumerate(sorted({w for _, _, words in found for w in words}))}
     unknown = len(vocabulary)
     kind = "<u2" if unknown < 65_536 else "<u4"
     encoded = stored(rows.mapInArrow(_encode(vocabulary), f"key {id_type}, words binary"), "encoded-texts")
@@ -304,32 +350,24 @@ def _find_leaks(docs, benchmark, id_column, text_column, item_column, item_text_
         counts[term] = n
     idf = np.log((total + 1) / (counts + 1)) + 0.1
     idf[unknown] = np.log(total + 1) + 0.1  # each unknown word is taken for a rare one
-    passages = benchmark.select(F.lit(0).alias("key"), text_of(item_text_column).alias("text")).mapInArrow(
-        _encode(vocabulary), "key int, words binary"
-    )
-    basis = latent_basis(stored(passages, "benchmark-passages"), idf[:unknown], kind, rank)
-    projection = np.zeros((unknown + 2, basis.shape[1]), np.float32)  # unknown words and padding have no part in it
-    projection[:unknown] = idf[:unknown, None] * basis
-    weights2 = np.append(idf**2, 0.0)
-    items, latent = [], []
+    items = []
     for _, text, words in found:
-        ids = np.array([vocabulary[w] for w in words])
         sentences = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.split()]
-        answer = np.array([vocabulary[w] for w in _words(sentences[-1])])
-        items.append((ids, answer))
-        along = projection[ids].sum(axis=0)
-        latent.append(along / (np.linalg.norm(along) or 1.0))
-    names = F.array(*(F.lit(item) for item, _, _ in found)) if len(found) <= 1_000 else None
+        items.append((np.array([vocabulary[w] for w in words]), np.array([vocabulary[w] for w in _words(sentences[-1])])))
+    passages = texts.select(F.lit(0).alias("key"), "text").mapInArrow(_encode(vocabulary), "key int, words binary")
+    n_passages = sum(len(_passages(ids)) for ids, _ in items)
+    basis = latent_basis(stored(passages, "benchmark-passages"), n_passages, idf[:unknown], kind, rank)
+    projection = np.zeros((unknown + 2, basis.shape[1]), np.float32)  # unknown words and padding have no part in it
+    projection[:unknown] = idf[:unknown, None] * basis
+    latent, item_of = [], []
+    for item, (ids, _) in enumerate(items):
+        for passage in [ids] if len(ids) <= WHOLE_ITEM else _passages(ids):
+            along = projection[passage].sum(axis=0)
+            latent.append(along / (np.linalg.norm(along) or 1.0))
+            item_of.append(item)
     hits = encoded.mapInArrow(
-        _search(projection, weights2, items, np.array(latent, np.float32), kind, unknown, cosine),
+        _search(projection, np.append(idf**2, 0.0), items, np.array(latent, np.float32), np.array(item_of), kind, unknown, cosine),
         f"key {id_type}, item long, share double, answer double, cosine double, start_word long, end_word long",
     )
-    if names is None:
-        table = spark.createDataFrame([(i, item) for i, (item, _, _) in enumerate(found)], f"item long, name {item_type}")
-        hits = hits.join(table, "item")
-    else:
-        hits = hits.withColumn("name", F.get(names, F.col("item").cast("int")))
-    return hits.select(
-        F.col("key").alias(id_column), F.col("name").alias(item_column), F.round("share", 6).alias("lcs_share"),
-        F.round("answer", 6).alias("answer_share"), F.round("cosine", 4).alias("cosine"), "start_word", "end_word",
-    )
+    digests = spark.createDataFrame([(i, digest) for i, (digest, _, _) in enumerate(found)], "item long, digest string")
+    return hits.join(F.broadcast(digests), "item").drop("item")

@@ -127,3 +127,39 @@ def test_whole_copies_of_a_mixed_benchmark_are_found_without_the_cosine(spark, m
     for options in ({"cosine": 2.0}, {}):  # no cosine is 2
         got = {(x.doc_id, x.item_id) for x in find_leaks(make_docs(rows), benchmark, **options).collect()}
         assert {(100 + i, i) for i, _ in items} <= got
+
+
+def test_paraphrases_are_found_beside_long_items(spark):
+    """Every third word changed, items of 12 to 1,500 words in several parts; unlike texts hold nothing."""
+    import random
+
+    from chartloom.llm.decontaminate import find_leaks
+
+    rng = random.Random(5)
+    lexicon = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(6_000)]
+    sizes = [12] * 40 + [40] * 40 + [300] * 15 + [1_500] * 12
+
+    def prose(n):
+        words = rng.choices(lexicon, k=n)
+        return [w + "." if i % 9 == 8 or i == n - 1 else w for i, w in enumerate(words)]
+
+    items = [prose(n) for n in sizes]
+    rows = []
+    for i, words in enumerate(items):
+        changed = [rng.choice(lexicon) if j % 3 == 2 else w for j, w in enumerate(words)]
+        rows.append((i, " ".join(prose(60) + changed + prose(60))))
+    rows += [(1_000 + i, " ".join(prose(300))) for i in range(60)] + [(None, " ".join(items[50])), (2_000, None)]
+    bench = [(i, " ".join(words)) for i, words in enumerate(items)] + [(900, " ".join(items[50])), (901, None), (902, " ")]
+    found = {
+        (row.doc_id, row.item_id)
+        for row in find_leaks(
+            spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+        ).collect()
+    }
+    for size in set(sizes):
+        of = [i for i, n in enumerate(sizes) if n == size]
+        hits = sum((i, i) in found for i in of)
+        print(size, hits, len(of))
+        assert hits >= 0.9 * len(of), size
+    assert {(None, 50), (None, 900)} <= found
+    assert not any(doc is not None and doc >= 1_000 for doc, _ in found)

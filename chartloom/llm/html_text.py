@@ -50,15 +50,23 @@ FURNITURE_WORDS = set(
     "navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices gdpr popup modal newsletter "
     "subscribe share sharing social related recommended comment comments disqus respond replies complementary contentinfo search".split()
 )
+#: Words of a furniture's name that say only how it holds its content; in an article every other word speaks for it.
+HOLDER_WORDS = set(
+    "area bar block body box btn button buttons container content form group heading inner item items label link links list "
+    "outer panel placeholder post posts row section slot stories story strip thread title unit wrap wrapper zone".split()
+)
 MAIN = {"article", "main"}
 WORD = re.compile(r"[a-z]+")
 
 
-def _names(attributes: str) -> tuple[str, set[str]]:
+def _names(attributes: str, main: bool) -> tuple[str, bool]:
+    """The classes, and whether a class, id or role names furniture: by any word of it, inside an article or main
+    element only by a name that says nothing else (``share-buttons``, but not ``share-price``)."""
     found = [(k.lower(), v.strip("\"'").lower()) for k, v in NAMES.findall(attributes)] if attributes else []
     classes = " ".join(v for k, v in found if k == "class").split()
-    words = {w for _, v in found for w in WORD.findall(v)}
-    return "".join(f".{c}" for c in sorted(classes)), words
+    names = [set(WORD.findall(name)) for _, v in found for name in v.split()]
+    known = any(words & FURNITURE_WORDS and (not main or words <= FURNITURE_WORDS | HOLDER_WORDS) for words in names)
+    return "".join(f".{c}" for c in sorted(classes)), known
 
 
 class _Node:
@@ -120,9 +128,9 @@ def read_page(html: str):
                     if stack[i].tag in ("ul", "ol", "dl", "table"):
                         break
             parent = stack[-1]
-            classes, named = _names(attributes)
             main = parent.main or tag in MAIN
-            noise = parent.noise or tag in FURNITURE_TAGS or bool(named & FURNITURE_WORDS) or (tag == "header" and not main)
+            classes, named = _names(attributes, main)
+            noise = parent.noise or tag in FURNITURE_TAGS or named or (tag == "header" and not main)
             if tag in ("html", "body", "article", "main"):  # classes of the whole page say nothing about it
                 noise = parent.noise
             node = _Node(tag, f"{parent.path}/{tag}{classes}", noise, main)

@@ -117,3 +117,14 @@ def test_features(spark):
     text = row.host + row.path
     assert row.entropy == pytest.approx(-sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text)))
     assert set(FEATURES) - set(row.asDict()) == {"suffix_share", "suffix_allowed"}
+
+
+def test_names_inside_an_article_are_taken_whole():
+    from chartloom.llm.html_text import page_text
+
+    page = (
+        "<article><section class='related-work'><p>Prior studies.</p></section><div class='search-results'><p>Result text</p></div>"
+        "<p class='share-price'>Shares rose.</p><div class='share-buttons'>Share</div><div id='comments'>Nice</div></article>"
+        "<div class='search-results'>Outside</div>"
+    )
+    assert page_text(page, set()) == "Prior studies.\nResult text\nShares rose."

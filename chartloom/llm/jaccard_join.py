@@ -36,6 +36,8 @@ ASKED = 10
 ORDERS = 3
 #: Tokens that a task holds before it passes them on.
 MOST_HELD = 400_000
+#: Text bytes of a bucket, which a task sorts in memory, about; most buckets of a partition.
+BUCKET_BYTES, MOST_BUCKETS = 4_000_000, 256
 #: Sets of one batch that share a token, from which it counts as frequent everywhere.
 FREQUENT = 64
 #: Ids that may be broadcast (8 bytes each); more of them are joined by a shuffle.
@@ -158,77 +160,103 @@ def _deal(buckets: int, from_count: int):
     return run
 
 
+def _bucket_rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of one bucket at a time, of batches sorted by bucket."""
+    held, of = [], None
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(x).to_pylist() for x in ("bucket", *columns))):
+            if bucket != of and held:
+                yield held
+                held = []
+            of = bucket
+            held.append(row)
+    if held:
+        yield held
+
+
+def _joined(parts: list[bytes], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), kind)
+
+
 def _count_tokens(keep_tokens: bool, buckets: int = 1):
     """Of each ref of a partition's buckets: how many of its tokens are shared, or which and how often.
-    A marked token counts as ``2 ** 31 - 1``, wherever it is met."""
+    A marked token counts as ``2 ** 31 - 1``, wherever it is met. Buckets are sorted one at a time; what
+    they give is passed on in lots of ``MOST_HELD``."""
     most = 2**31 - 1
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        tokens, refs, marked, done = [], [], [], []
-        for batch in batches:
-            for row in zip(*(batch.column(x).to_pylist() for x in ("key_rows", "tokens", "refs", "runs", "marked"))):
-                own = np.frombuffer(row[1], np.uint64)
-                of = np.repeat(np.frombuffer(row[2], np.int64), np.frombuffer(row[3], "<u4"))
-                if row[0] is not None:
-                    done.append((own, of))
-                    continue
-                tokens.append(own)
-                refs.append(of)
-                marked.append(np.frombuffer(row[4], np.uint64))
-        none = np.empty(0, np.uint64)
-        tokens, refs, counts = _shared_rows(
-            np.concatenate([none, *tokens]), np.concatenate([none.view(np.int64), *refs]), 2
-        )
-        marks = np.unique(np.concatenate([none, *marked]))
+    def shared_of(rows):
+        own = [row for row in rows if row[0] is None]
+        refs = np.repeat(_joined([row[2] for row in own], np.int64), _joined([row[3] for row in own], "<u4"))
+        tokens, refs, counts = _shared_rows(_joined([row[1] for row in own], np.uint64), refs, 2)
+        marks = np.unique(_joined([row[4] for row in own if row[4]], np.uint64))
         if len(marks) and len(tokens):
             counts = np.where(np.isin(tokens, marks), most, counts)
         shared = counts >= 2
-        tokens = np.concatenate([tokens[shared], *(t for t, _ in done)])
-        refs = np.concatenate([refs[shared], *(r for _, r in done)])
+        done = [row for row in rows if row[0] is not None]
+        tokens = np.concatenate([tokens[shared], _joined([row[1] for row in done], np.uint64)])
+        refs = np.concatenate([refs[shared], np.repeat(_joined([row[2] for row in done], np.int64), _joined([row[3] for row in done], "<u4"))])
         counts = np.concatenate([counts[shared], np.full(len(tokens) - int(shared.sum()), most)]).astype("<u4")
+        return refs, tokens, counts
+
+    def totals(held):
+        refs = np.concatenate([of for of, _ in held])
+        runs = np.concatenate([n for _, n in held])
         order = np.argsort(refs, kind="stable")
-        of, runs = _runs(refs[order])
-        if not keep_tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(runs.astype(np.int64))], ["ref", "shared"])
-            return
-        tokens, counts, refs = tokens[order], counts[order], np.repeat(of, runs)
+        of, _ = _runs(refs[order])
+        sums = np.add.reduceat(runs[order], np.searchsorted(refs[order], of))
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(sums.astype(np.int64))], ["ref", "shared"])
+
+    def by_home(held):
+        refs, tokens, counts = (np.concatenate(x) for x in zip(*held))
         home = (refs % buckets).astype(np.int32)
-        order = np.argsort(home, kind="stable")
+        order = np.lexsort((refs, home))
         ends = np.searchsorted(home[order], np.arange(buckets + 1))
         rows = [[], [], [], []]
         for b in np.flatnonzero(np.diff(ends)):
             part = order[ends[b] : ends[b + 1]]
             for column, value in zip(rows, (int(b), refs[part].tobytes(), tokens[part].tobytes(), counts[part].tobytes())):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "refs", "tokens", "counts"]
         )
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, size, pass_on = [], 0, by_home if keep_tokens else totals
+        for rows in _bucket_rows(batches, ("key_rows", "tokens", "refs", "runs", "marked")):
+            refs, tokens, counts = shared_of(rows)
+            if not len(refs):
+                continue
+            held.append((refs, tokens, counts) if keep_tokens else _runs(np.sort(refs)))
+            size += len(held[-1][0])
+            if size > MOST_HELD:
+                yield pass_on(held)
+                held, size = [], 0
+        if held:
+            yield pass_on(held)
+        give_back()
+
     return run
 
 
 def _by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The packed parts of a partition's buckets, a row for each set."""
-    parts = [[np.empty(0, kind)] for kind in (np.int64, np.uint64, "<u4")]
-    for batch in batches:
-        for column, part, kind in zip(("refs", "tokens", "counts"), parts, (np.int64, np.uint64, "<u4")):
-            part += [np.frombuffer(raw, kind) for raw in batch.column(column).to_pylist()]
-    refs, tokens, counts = map(np.concatenate, parts)
-    order = np.argsort(refs, kind="stable")
-    of, runs = _runs(refs[order])
-    tokens, counts = tokens[order], counts[order]
-    ends = np.concatenate(([0], np.cumsum(runs, dtype=np.int64)))
-    for start in range(0, len(of), 2_000):
-        some = range(start, min(start + 2_000, len(of)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(of[start : start + 2_000]),
-                pa.array(runs[start : start + 2_000].astype(np.int64)),
-                pa.array([tokens[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
-                pa.array([counts[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
-            ],
-            ["ref", "shared", "tokens", "counts"],
-        )
+    """The packed parts of each of a partition's buckets, a row for each set."""
+    for rows in _bucket_rows(batches, ("refs", "tokens", "counts")):
+        refs, tokens, counts = (_joined([row[i] for row in rows], kind) for i, kind in enumerate((np.int64, np.uint64, "<u4")))
+        order = np.argsort(refs, kind="stable")
+        of, runs = _runs(refs[order])
+        tokens, counts = tokens[order], counts[order]
+        ends = np.concatenate(([0], np.cumsum(runs, dtype=np.int64)))
+        for start in range(0, len(of), 2_000):
+            some = range(start, min(start + 2_000, len(of)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(of[start : start + 2_000]),
+                    pa.array(runs[start : start + 2_000].astype(np.int64)),
+                    pa.array([tokens[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
+                    pa.array([counts[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
+                ],
+                ["ref", "shared", "tokens", "counts"],
+            )
 
 
 def _index(percent: int, orders: int):
@@ -350,12 +378,18 @@ def near_copies(
 
 def _near_copies(docs, id_column, text_column, percent, orders) -> DataFrame:
     spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_column).cast("long").alias("key"), text_of(text_column).alias("text"))
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(parts, min(-(-size // BUCKET_BYTES), MOST_BUCKETS * parts))
+
+    def by_bucket(df):  # sorted by the JVM, which spills, so that a task holds one bucket
+        return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
     schema = "key long, n long, digest string, ref long, tokens binary"
     # The sets' rows and the packed tokens travel together: one pass over the texts.
-    signed_sets = stored(rows.mapInArrow(_sets_and_deal(buckets), f"key long, n long, digest string, ref long, {_DEALT}")
-        .repartition(buckets, "bucket").mapInArrow(_pass_and_count(), "key long, n long, digest string, ref long, shared long"), "shingle-sets")
+    dealt = rows.mapInArrow(_sets_and_deal(buckets), f"key long, n long, digest string, ref long, {_DEALT}")
+    signed_sets = stored(by_bucket(dealt).mapInArrow(_pass_and_count(), "key long, n long, digest string, ref long, shared long"), "shingle-sets")
     sizes = signed_sets.where("n is not null")
     classes = stored(sizes.groupBy("digest").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("ref").alias("ref")), "set-classes")
     shared = signed_sets.where("shared is not null").groupBy("ref").agg(F.sum("shared").alias("shared"))
@@ -371,11 +405,10 @@ def _near_copies(docs, id_column, text_column, percent, orders) -> DataFrame:
         chosen.mapInArrow(_sets(True), schema).join(hopeful.select("ref"), "ref", "left_semi").dropDuplicates(["ref"]).select("ref", "n", "tokens"),
         "hopeful-tokens",
     )
-    counted = (
-        sets.select("ref", "tokens").mapInArrow(_deal(buckets, FREQUENT), _DEALT)
-        .repartition(buckets, "bucket").mapInArrow(_count_tokens(True, buckets), "bucket int, refs binary, tokens binary, counts binary")
-        .repartition(buckets, "bucket").mapInArrow(_by_set, "ref long, shared long, tokens binary, counts binary")
+    found = by_bucket(sets.select("ref", "tokens").mapInArrow(_deal(buckets, FREQUENT), _DEALT)).mapInArrow(
+        _count_tokens(True, buckets), "bucket int, refs binary, tokens binary, counts binary"
     )
+    counted = by_bucket(found).mapInArrow(_by_set, "ref long, shared long, tokens binary, counts binary")
     candidates = stored(
         sets.select("ref", "n").join(counted, "ref").where(F.col("shared") >= least).select("ref", "n", "tokens", "counts")
         .mapInArrow(_index(percent, orders), "ord int, token long, ref long, n long, shared long, place long"),
@@ -444,10 +477,16 @@ def _pass_and_count():
 
         names = ["key", "n", "digest", "ref", "shared"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+        def let_through():
+            for own in passed:
+                yield pa.RecordBatch.from_arrays([*(own.column(x) for x in names[:4]), pa.nulls(own.num_rows, pa.int64())], names)
+            passed.clear()
+
         for counted in count(packed()):
+            yield from let_through()
             have = {"ref": counted.column("ref"), "shared": counted.column("shared")}
             yield pa.RecordBatch.from_arrays([have.get(x, pa.nulls(counted.num_rows, k)) for x, k in zip(names, kinds)], names)
-        for own in passed:
-            yield pa.RecordBatch.from_arrays([*(own.column(x) for x in names[:4]), pa.nulls(own.num_rows, pa.int64())], names)
+        yield from let_through()
 
     return run

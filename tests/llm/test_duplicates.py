@@ -234,3 +234,25 @@ def test_fingerprints_of_the_documents_table(spark, sf_dir):
 def test_fingerprints_run_without_python(make_docs, copies):
     plan = fingerprint_edits(make_docs(copies))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_near_copies_do_not_depend_on_buckets(make_docs, copies, monkeypatch):
+    """Many small buckets in a partition, and lots of a few tokens, give the same classes and components."""
+    whole = sorted(map(str, near_copies(make_docs(copies)).collect()))
+    monkeypatch.setattr("chartloom.llm.jaccard_join.BUCKET_BYTES", 2_000)
+    assert sorted(map(str, near_copies(make_docs(copies)).collect())) == whole
+
+
+def test_may_hold_never_refuses_a_passage():
+    from chartloom.llm.substring_dedup import may_hold
+
+    r = random.Random(4)
+    for _ in range(300):
+        n = r.randint(50, 120)
+        passage = np.array([r.randrange(5_000) for _ in range(n)], np.uint32)
+        other = passage.copy()
+        other[r.sample(range(n), int(n * 0.2))] += 10_000
+        around = lambda: np.array([r.randrange(20_000, 90_000) for _ in range(r.randint(0, 90))], np.uint32)
+        assert may_hold(np.concatenate([around(), passage, around()]), np.concatenate([around(), other, around()]), 50, 0.8)
+    assert not may_hold(np.arange(200, dtype=np.uint32), np.arange(1_000, 1_200, dtype=np.uint32), 50, 0.8)
+    assert not may_hold(np.arange(49, dtype=np.uint32), np.arange(49, dtype=np.uint32), 50, 0.8)

@@ -1,8 +1,11 @@
 """Streams give what the batch gives, and a second run takes only what is new."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from chartloom.catalog import queries
 from chartloom.functions.embedding import with_embedding
 from chartloom.operators import messages as msg
 from chartloom.plans.documents import build_document_tables, build_index
@@ -205,3 +208,18 @@ def test_overwritten_table_takes_a_new_schema(spark, tmp_path):
     again = sinks.overwrite_table(spark.range(3).selectExpr("id AS other", "'x' AS text"), "chartloom_changing")
     assert again.columns == ["other", "text"] and again.count() == 3
     spark.sql("DROP TABLE chartloom_changing")
+
+
+def test_landed_files_lie_in_one_folder_and_are_written_by_several_tasks(spark, sf_dir, tmp_path):
+    landing = queries._supplier_landing(spark, sf_dir, str(tmp_path))
+    names = [n for n in os.listdir(landing) if n.startswith("part-")]
+    assert all(os.path.isfile(f"{landing}/{n}") for n in names)
+    assert len(names) == spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    assert len({n[:10] for n in names}) > 1
+
+
+def test_rows_of_one_name_share_a_file(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x\ny"), ("b", "z"), ("a", "w"), (None, "n"), (None, None)], "name string, value string").coalesce(1)
+    queries._land(spark, rows, str(tmp_path / "landing"))
+    found = [r.value for r in spark.read.text(str(tmp_path / "landing"), wholetext=True).collect()]
+    assert sorted(found) == ["n\n\n", "x\ny\nw\n", "z\n"]

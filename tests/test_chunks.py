@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -121,3 +122,10 @@ def test_runs_without_blanks_are_cut():
     found = recursive_chunker(20)(text)
     assert max(word_or_run_count(chunk) for chunk in found) <= 20
     assert "".join(found).replace(" ", "") == text.replace(" ", "")
+
+
+def test_texts_are_cut_a_few_bytes_at_a_time():
+    texts = pa.array(["aaaa", None, "", "bbbbbbb", "c", None])
+    assert list(chunks._few_bytes(texts, 4)) == [(0, 1), (1, 3), (4, 2)]
+    assert list(chunks._few_bytes(texts.slice(2, 3), 100)) == [(0, 3)]
+    assert list(chunks._few_bytes(texts.slice(0, 0))) == []

@@ -113,12 +113,14 @@ def _add_up(batches):
         )
 
 
-def latent_basis(passages: DataFrame, n_passages: int, idf: np.ndarray, kind: str, rank: int = RANK, norm_share: float = NORM_SHARE) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the TF-IDF passages of ``words``, by randomised SVD; the rank
-    doubles until they hold ``norm_share`` of the squared norm, which is one for each passage."""
+def latent_basis(
+    passages: DataFrame, idf: np.ndarray, kind: str, rank: int = RANK, n_passages: int | None = None, norm_share: float = NORM_SHARE
+) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the TF-IDF passages of ``words``, by randomised SVD. With the number
+    of passages the rank doubles until they hold ``norm_share`` of the squared norm, which is one for each."""
     while True:
         basis, held = _basis_of_rank(passages, idf, kind, rank)
-        if held >= norm_share * n_passages or rank >= min(len(idf), n_passages):
+        if n_passages is None or held >= norm_share * n_passages or rank >= min(len(idf), n_passages):
             return basis
         rank *= 2
 
@@ -356,7 +358,7 @@ def _part_leaks(spark, rows, texts, id_type, cosine, rank) -> DataFrame | None:
         items.append((np.array([vocabulary[w] for w in words]), np.array([vocabulary[w] for w in _words(sentences[-1])])))
     passages = texts.select(F.lit(0).alias("key"), "text").mapInArrow(_encode(vocabulary), "key int, words binary")
     n_passages = sum(len(_passages(ids)) for ids, _ in items)
-    basis = latent_basis(stored(passages, "benchmark-passages"), n_passages, idf[:unknown], kind, rank)
+    basis = latent_basis(stored(passages, "benchmark-passages"), idf[:unknown], kind, rank, n_passages)
     projection = np.zeros((unknown + 2, basis.shape[1]), np.float32)  # unknown words and padding have no part in it
     projection[:unknown] = idf[:unknown, None] * basis
     latent, item_of = [], []

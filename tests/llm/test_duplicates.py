@@ -5,9 +5,11 @@ import struct
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
+from chartloom.llm import substring_dedup
 from chartloom.llm.components import components
 from chartloom.llm.fingerprints import GRAM, WINDOW, fingerprint_edits
 from chartloom.llm.jaccard_join import near_copies
@@ -256,3 +258,14 @@ def test_may_hold_never_refuses_a_passage():
         assert may_hold(np.concatenate([around(), passage, around()]), np.concatenate([around(), other, around()]), 50, 0.8)
     assert not may_hold(np.arange(200, dtype=np.uint32), np.arange(1_000, 1_200, dtype=np.uint32), 50, 0.8)
     assert not may_hold(np.arange(49, dtype=np.uint32), np.arange(49, dtype=np.uint32), 50, 0.8)
+
+
+def test_a_task_holds_one_bucket_at_a_time():
+    buckets = [[1, 1, 2], [2, 2], [], [5], [7, 7]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(b, pa.int32())], ["bucket"]) for b in buckets]
+
+    def part(held):
+        yield [v for batch in held for v in batch.column("bucket").to_pylist()]
+
+    assert list(substring_dedup._by_bucket(part)(iter(batches))) == [[1, 1], [2, 2, 2], [5], [7, 7]]
+    assert list(substring_dedup._by_bucket(part)(iter([]))) == []

@@ -87,6 +87,8 @@ def replayed(changes: DataFrame, key: str) -> DataFrame:
     """The table that a feed's changes from its first version on lead to."""
     others = all_but(changes, key, "version", "change_type")
     written = changes.where(F.col("change_type") != BEFORE)
-    last = F.max_by(F.struct("change_type", *others), "version").alias("last")
+    # Of a deletion only its kind counts, so its row isn't shuffled.
+    row = [F.when(F.col("change_type") != DELETE, F.col(c)).alias(c) for c in others]
+    last = F.max_by(F.struct("change_type", *row), "version").alias("last")
     rows = written.groupBy(key).agg(last).where(F.col("last.change_type") != DELETE)
     return rows.select(key, *[F.col("last")[c].alias(c) for c in others])

@@ -78,6 +78,17 @@ def test_change_feed_in_batch_and_stream(spark, tmp_path):
     assert sorted(map(str, streamed.collect())) == sorted(map(str, feed.changes(2, 4).collect()))
 
 
+def test_replay_leaves_the_rows_of_deletions_behind(spark):
+    changes = spark.createDataFrame(
+        [("insert", "a", "x", 1), ("insert", "b", "y", 1), ("delete", "a", "x", 2), ("insert", "a", "z", 3), ("delete", "b", "y", 3)],
+        "change_type string, chunk_id string, note string, version int",
+    )
+    rows = replayed(changes, "chunk_id")
+    assert [tuple(r) for r in rows.collect()] == [("a", "z")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"CASE WHEN NOT \(change_type#\d+ = delete\) THEN note", plan)
+
+
 def test_upsert_takes_each_change_once(spark):
     table = spark.createDataFrame([("a", 1, None), ("b", 1, "x"), ("c", 1, "y")], "chunk_id string, v int, note string")
     diff = spark.createDataFrame(

@@ -66,8 +66,9 @@ class IndexStore:
         """The buckets of some rows' keys, at most all of them."""
         return sorted(r[0] for r in rows.select(self.bucket()).distinct().collect())
 
-    def current(self, before: int, buckets: list[int] | None = None) -> DataFrame:
-        """The rows after all batches with a smaller number; with ``buckets`` only what these hold.
+    def current(self, before: int, buckets: list[int] | None = None, columns: list[str] | None = None) -> DataFrame:
+        """The rows after all batches with a smaller number; with ``buckets`` only what these hold, with
+        ``columns`` the key and these alone: others are neither read nor shuffled.
 
         Batches are numbered without gaps and each has its folder, so the log is read by the names of
         those behind the base and its older folders are not even listed.
@@ -85,6 +86,8 @@ class IndexStore:
         if behind:
             schema = StructType([*self.fields]).add("batch_id", IntegerType())
             rows = rows.unionByName(held(schema, behind, basePath=f"{self.path}/log"))
+        if columns is not None:
+            rows = rows.select(self.key, *[c for c in columns if c != self.key], "change_type", "batch_id")
         return latest_by_key(rows, self.key)
 
     def batches(self) -> int:

@@ -78,6 +78,37 @@ def test_change_feed_in_batch_and_stream(spark, tmp_path):
     assert sorted(map(str, streamed.collect())) == sorted(map(str, feed.changes(2, 4).collect()))
 
 
+def test_store_carries_only_the_columns_asked_for(spark, tmp_path):
+    schema = "change_type string, chunk_id string, v int, note string"
+    store = IndexStore(spark, str(tmp_path / "index"), schema, "chunk_id", buckets=2)
+    store.write_batch(spark.createDataFrame([("insert", "a", 1, "x"), ("insert", "b", 1, "y"), ("insert", "c", 1, "z")], schema), 0)
+    store.compact(1)
+    store.write_batch(spark.createDataFrame([("delete", "a", None, None), ("insert", "b", 2, "w")], schema), 1)
+    known, values = store.current(2, columns=["chunk_id"]), store.current(2, columns=["v"])
+    assert known.columns == ["chunk_id"] and sorted(r[0] for r in known.collect()) == ["b", "c"]
+    assert keys(values) == [("b", 2), ("c", 1)]
+    assert "note" not in values._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batch_compares_keys_without_texts_and_vectors(spark, tmp_path, monkeypatch):
+    """What an index batch asks of the index is its keys."""
+    asked = []
+    current = IndexStore.current
+    monkeypatch.setattr(
+        IndexStore, "current", lambda self, *at, **options: asked.append(current(self, *at, **options)) or asked[-1]
+    )
+    root = str(tmp_path)
+    for number, chunk in enumerate(["a", "b"]):
+        spark.createDataFrame([(chunk, f"text {chunk}")], "chunk_id string, content_chunked string").write.mode("append").parquet(f"{root}/chunks")
+        rows = stream_folder(spark, f"{root}/chunks", spark.read.parquet(f"{root}/chunks").schema)
+        embed = lambda df: df.withColumn("embedding", F.array(F.lit(1.0)))
+        hops.sync_index_stream(rows, f"{root}/index", f"{root}/checkpoint", embed, buckets=2)
+    assert len(asked) == 2
+    assert "embedding" not in asked[1]._jdf.queryExecution().executedPlan().toString()
+    found = hops.read_index(spark, f"{root}/index", ["content_chunked"])
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "text a"), ("b", "text b")]
+
+
 def test_replay_leaves_the_rows_of_deletions_behind(spark):
     changes = spark.createDataFrame(
         [("insert", "a", "x", 1), ("insert", "b", "y", 1), ("delete", "a", "x", 2), ("insert", "a", "z", 3), ("delete", "b", "y", 3)],

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from chartloom.operators.changes import latest_by_key
+from chartloom.sinks.tables import COMPRESSION
 
 BUCKETS = 32
 _MANIFEST = "folded int, buckets int, version int"
@@ -56,7 +57,7 @@ class IndexStore:
 
     def _write(self, rows: DataFrame, path: str) -> None:
         placed = rows.withColumn("bucket", self.bucket()).hint("rebalance", F.col("bucket"))
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(path, compression=COMPRESSION)
 
     def write_batch(self, changes: DataFrame, batch_id: int) -> None:
         """Add a batch's changes; a batch that comes again replaces its own."""

@@ -186,3 +186,12 @@ def test_assembly_frees_the_state_of_written_files(spark, tmp_path):
         sizes.append(state.count())
     assert sorted(map(tuple, texts.collect())) == [("f", "\rb\rc", True), ("g", "x", True), ("h", "early\rlate", True)]
     assert sizes[-1] == 0 and max(sizes) > 0
+
+
+def test_stored_tables_are_compressed_with_zstd(spark, tmp_path):
+    feed = ChangeFeed(spark, str(tmp_path / "feed"), "chunk_id")
+    feed.commit(spark.createDataFrame([("a", 1)], "chunk_id string, v int"))
+    store = IndexStore(spark, str(tmp_path / "index"), LOG, "chunk_id", buckets=2)
+    store.write_batch(spark.createDataFrame([("insert", "a", 1)], LOG), 0)
+    for table in (feed.snapshot(), feed.changes(1, 1), store.current(1)):
+        assert all(f.endswith(".zstd.parquet") for f in table.inputFiles() if "version=0" not in f)

@@ -140,3 +140,31 @@ def test_no_python_worker_on_the_message_path(spark):
     for table in tables:
         plan = table._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def _expected_fields(line, separator, repetition):
+    """The map of a line, field by field."""
+    parts = line.split(separator)
+    fields = [separator, *parts[1:]] if parts[0] == "MSH" else parts[1:]
+    last = [f if parts[0] == "MSH" and i == 1 else f.split(repetition)[-1] for i, f in enumerate(fields)]
+    return parts[0], {f"{parts[0]}_{i + 1}": f for i, f in enumerate(last) if f}
+
+
+@pytest.mark.parametrize("head, separator, repetition", [
+    (HEAD, "|", "~"), ("MSH|^~\\&|a~b|~|c~", "|", "~"), ("MSH~^~\\&~A~B~C", "~", "~"), ("MSH#^*\\&#x*y", "#", "*"), ("MSHM^~\\&MAMB", "M", "~"),
+])
+def test_fields_of_all_kinds_and_lengths(spark, head, separator, repetition):
+    lines = [head]
+    for kind in [*msg.SEGMENT_FIELD_NUMBERS, "ZZZ", "", "MSHX", "OBX~P", "É"]:
+        for n in (0, 1, 7, 8, 9, 16, 17, 63, 64, 65, 200):
+            for make in (lambda i: f"v{i}", lambda i: "" if i % 3 == 0 else f"a{repetition}b{i}", lambda i: "", lambda i: "é" if i % 7 else repetition):
+                lines.append(separator.join([kind, *(make(i) for i in range(n))]))
+    lines = [line for line in lines if line.strip(" ")]
+    found = [(s["segment_id"], s["fields"]) for s in one(spark, "\r".join(lines))["segments"]]
+    assert found == [_expected_fields(line, separator, repetition) for line in lines]
+
+
+def test_names_of_usual_fields_are_not_made_for_each_line(spark):
+    raw = spark.createDataFrame([(HEAD,)], "value string")
+    plan = msg.parse_messages(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_arrays" in plan and "OBX_16" in plan

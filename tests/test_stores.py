@@ -9,7 +9,7 @@ from chartloom.operators import changes, documents, quality
 from chartloom.plans.documents import store_document_tables
 from chartloom.sinks.change_feed import ChangeFeed, replayed
 from chartloom.sinks.index_store import IndexStore
-from chartloom.sinks.tables import lookup_folder
+from chartloom.sinks.tables import lookup_folder, overwrite_parts
 from chartloom.sources.tables import stream_folder
 from chartloom.streaming import hops
 
@@ -195,3 +195,13 @@ def test_stored_tables_are_compressed_with_zstd(spark, tmp_path):
     store.write_batch(spark.createDataFrame([("insert", "a", 1)], LOG), 0)
     for table in (feed.snapshot(), feed.changes(1, 1), store.current(1)):
         assert all(f.endswith(".zstd.parquet") for f in table.inputFiles() if "version=0" not in f)
+
+
+def test_parts_of_few_values_are_written_by_each_task(spark, tmp_path):
+    rows = spark.range(60, numPartitions=3).select("id", F.when(F.col("id") % 2 == 0, "a").when(F.col("id") % 3 == 0, "b").alias("kind"))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    for most in (3, 1):
+        back = overwrite_parts(rows, str(tmp_path / str(most)), "kind", most)
+        assert sorted(map(str, back.select("id", "kind").collect())) == sorted(map(str, rows.collect()))
+        assert len(list((tmp_path / str(most)).rglob("*.parquet"))) == 9
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before

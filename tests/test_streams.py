@@ -86,6 +86,17 @@ def test_stateful_assembly_grows_texts(spark, tmp_path):
     assert got == {"f": "a\rb\rc", "g": "x"}
 
 
+def test_assembly_state_lies_on_disk(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("lines", "texts", "checkpoint"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.createDataFrame([("f", 0, "a")], "file_path string, line_no long, value string").write.parquet(folder)
+    hops.assemble_stream(sources.stream_folder(spark, folder, spark.read.parquet(folder).schema), out, checkpoint)
+    kinds = {path.suffix for path in (tmp_path / "checkpoint" / "state").rglob("*") if not path.name.startswith(".")}
+    assert ".delta" not in kinds and kinds & {".changelog", ".zip"}
+    assert spark.conf.get(name) == before
+
+
 def test_index_stream_embeds_each_key_once(spark, tmp_path):
     folder, out, checkpoint = (str(tmp_path / n) for n in ("chunks", "index", "checkpoint"))
     seen = []

@@ -212,6 +212,12 @@ def _unpacked(body: bytes) -> list[np.ndarray]:
     return found
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted different values; ``np.unique`` hashes them, which takes longer for many."""
+    values = np.sort(values)
+    return values[np.append(values[:1] == values[:1], values[1:] != values[:-1])]
+
+
 class _Block:
     """Documents of one block, and the strings that they are made of."""
 
@@ -245,21 +251,32 @@ class _Block:
 
     def _finish(self, parts) -> None:
         """One document from the places of its strings, which come in parts."""
-        held, lines, digest, broken = Counter(), [], hashlib.sha256(), False
+        once, held, lines, digest, broken = None, Counter(), [], hashlib.sha256(), False
         for places in parts:
             shown = list(map(self.shown.__getitem__, places))
             broken = broken or None in shown
             if broken or not shown:
                 continue
             line = ";".join(shown)
-            lines.append(line) if self.show else digest.update((";" + line if held else line).encode())
-            found, counts = np.unique(np.array(places), return_counts=True)
-            held.update(dict(zip(found.tolist(), counts.tolist())))
-        own = [] if broken else sorted(held.items())
+            lines.append(line) if self.show else digest.update((line if once is None and not held else ";" + line).encode())
+            found = np.unique(np.array(places), return_counts=True)
+            if once is None and not held:
+                once = found
+                continue
+            # Most documents are one part and need no dictionary.
+            for places, counts in (once, found) if once else (found,):
+                held.update(dict(zip(places.tolist(), counts.tolist())))
+            once = None
+        if broken or not (once or held):
+            own = np.empty(0, np.int64), np.empty(0, np.int64)
+        elif once:
+            own = once
+        else:
+            own = np.array(sorted(held.items()), np.int64).T
         shown = ";".join(lines) if self.show else digest.hexdigest()
-        self.groups.append(shown if own else "")
-        self.strings.append(np.array([place for place, _ in own], np.int64))
-        self.counts.append(np.array([count for _, count in own], np.int64))
+        self.groups.append(shown if len(own[0]) else "")
+        self.strings.append(own[0])
+        self.counts.append(own[1])
 
     def _learn(self, split: list[list[str]]) -> None:
         rows, odd = self.pair.rows(list(set().union(*split).difference(self.places)))
@@ -334,10 +351,10 @@ class _Block:
         strings, counts = np.concatenate(self.strings), np.concatenate(self.counts)
         document = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
         at, owner = _expand(alike_ends, strings)
-        held = np.unique(document[owner] * len(identity) + alike[at]) % len(identity)
+        held = _distinct(document[owner] * len(identity) + alike[at]) % len(identity)
         identity += np.bincount(held, minlength=len(identity))
         at, owner = _expand(pair_ends, strings)
-        held = np.unique(document[owner] * max(1, len(keys)) + slots[at]) % max(1, len(keys))
+        held = _distinct(document[owner] * max(1, len(keys)) + slots[at]) % max(1, len(keys))
         # Places of strings ascend in a document; their steps are small numbers.
         steps = np.diff(strings, prepend=0)
         begins = np.concatenate([[0], ends[:-1]])[np.diff(np.concatenate([[0], ends])) > 0]

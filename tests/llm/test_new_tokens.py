@@ -183,3 +183,10 @@ def test_identity_map_holds_equal_bytes():
     for i, other in enumerate(pair.identity.tolist()):
         assert other < 0 or pair.first_bytes[i] == pair.second_bytes[other]
     assert (pair.identity >= 0).sum() > 5_000
+
+
+def test_distinct_values():
+    from chartloom.llm.token_alignment import _distinct
+
+    for values in ([], [3], [5, 1, 5, 5, 2], list(range(9)) * 3):
+        assert _distinct(np.array(values, np.int64)).tolist() == sorted(set(values))

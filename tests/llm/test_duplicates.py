@@ -269,3 +269,51 @@ def test_a_task_holds_one_bucket_at_a_time():
 
     assert list(substring_dedup._by_bucket(part)(iter(batches))) == [[1, 1], [2, 2, 2], [5], [7, 7]]
     assert list(substring_dedup._by_bucket(part)(iter([]))) == []
+
+
+def test_extensions_made_together_against_a_table():
+    from chartloom.llm.substring_dedup import BAND, extensions
+
+    r = np.random.default_rng(5)
+    pairs = [(r.integers(0, 4, int(n)), r.integers(0, 4, int(m))) for n, m in r.integers(0, 30, (60, 2))]
+    for n in (3, 40, 200):  # the same words with some left out or put in
+        words = r.integers(0, 1 << 32, n)
+        pairs.append((words, np.insert(np.delete(words, n // 3), n // 2, 7)))
+    for (a, b), (aligned, taken, value) in zip(pairs, extensions(pairs, 0.65)):
+        a = a[:128]
+        assert len(aligned) == len(taken) == len(value) == len(a) + 1
+        table = {(0, j): 0 for j in range(-BAND, BAND + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(i - BAND, i + BAND + 1):
+                same = 0 < j <= len(b) and a[i - 1] == b[j - 1]
+                table[i, j] = max(table.get((i - 1, j - 1), 0) + same, table.get((i - 1, j), 0), table.get((i, j - 1), 0))
+        for i in range(len(a) + 1):
+            values = [table[i, j] - 0.65 * max(i, j) for j in range(i - BAND, i + BAND + 1) if 0 <= j <= len(b)]
+            if values:
+                assert value[i] == max(values) == aligned[i] - 0.65 * max(i, taken[i]) and aligned[i] == table[i, taken[i]]
+            else:
+                assert np.isneginf(value[i])
+
+
+def test_chains_of_a_batch_are_extended_together(monkeypatch):
+    from chartloom.llm.substring_dedup import _align_rows, align
+
+    calls, made = [], substring_dedup.extensions
+    monkeypatch.setattr(substring_dedup, "extensions", lambda pairs, worth: calls.append(len(pairs)) or made(pairs, worth))
+    r = np.random.default_rng(6)
+    rows, expected = [], []
+    for doc in range(50):
+        a = r.integers(0, 1 << 32, 120).astype("<u4")
+        b = a.copy()
+        b[r.choice(120, 4, replace=False)] = 1
+        start = next(x for x in range(20, 100) if (a[x : x + 6] == b[x : x + 6]).all())
+        anchors = np.array([[start, start, 6]], "<i4")
+        rows.append((doc, 1000, 0, 0, anchors.tobytes(), a.tobytes(), b.tobytes()))
+        expected.append(align(a, b, anchors)[:4])
+    names = ["doc", "other", "low", "other_low", "anchors", "words", "other_words"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    calls.clear()
+    found = [tuple(row.values()) for out in _align_rows(50, 0.8)(iter([batch])) for row in out.to_pylist()]
+    assert [(row[1], row[2], row[4], row[5]) for row in found] == expected
+    assert calls[0] == 100 and len(calls) <= 2

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chartloom.llm.common import give_back, slices, small_batches, stored, text_of
-from chartloom.llm.tokens import id_bytes, tokenizer_kind
+from chartloom.llm.tokens import forget_words, id_bytes, tokenizer_kind
 
 CAPACITY = 2_048
 #: Rounds of weights and knapsacks in each solution, solutions of what rounding leaves, shrinking of weights.
@@ -194,6 +194,8 @@ def _pieces(path: str, kind: str, capacity: int, end_id: int):
                     [*(pa.array(column, kind) for column, kind in zip(out, kinds)), pa.array([part] * len(out[0]), pa.int32())],
                     ["key", "piece", "start", "length", "ids_crc32", "rank", "part"],
                 )
+        if kind == "words":
+            forget_words(path)
         give_back()
 
     return run

@@ -16,6 +16,8 @@ import numpy as np
 from chartloom.llm.common import WHITE, worker_store
 
 MOST_PIECES = 300_000
+#: Words of which ``WordIds`` keeps the ids (about 200 bytes each).
+MOST_WORDS = 450_000
 PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WORDS = re.compile(f"[^{WHITE}]+")
 #: Texts that need the patterns above: characters beyond Latin letters and marks, blanks in a row or at an end.
@@ -155,11 +157,12 @@ class WordIds:
         return [b"".join(map(known, words)) for words in split]
 
     def learn(self, latin: set[str], other: set[str]) -> None:
-        if len(self.known) > MOST_PIECES:
+        if len(self.known) > MOST_WORDS:
             self.known.clear()
         known = self.known
-        rest = list(other - known.keys())
-        plain, tailed, more = stems_of(latin - known.keys() - other)
+        # ``set - known.keys()`` would go over all that is known.
+        rest = list(other.difference(known))
+        plain, tailed, more = stems_of(latin.difference(known, other))
         rest += more
         plain = list(set(plain).union(stem for stem in tailed.values() if stem not in known))
         if plain:  # every word ends at a token that ends words
@@ -167,10 +170,8 @@ class WordIds:
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(ends) != len(plain):
                 raise ValueError("the tokenizer doesn't end every word at a token of its own")
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(plain, ends):
-                known[word] = raw[start:end]
-                start = end
+            raw = ids.tobytes()
+            known.update(zip(plain, [raw[start:end] for start, end in zip([0, *ends], ends)]))
         for word, stem in tailed.items():
             known[word] = known[stem] + self.marks[word[-1]]
         for word, encoded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
@@ -203,3 +204,8 @@ def id_bytes(path: str, kind: str, texts: list[str]) -> list[bytes]:
     if kind == "words":
         return worker_store(f"ids {path}", lambda: WordIds(path)).ids(texts)
     return [np.array(ids, "<u4").tobytes() for ids in whole_ids(path, texts)]
+
+
+def forget_words(path: str) -> None:
+    """Empties what ``id_bytes`` keeps of words. A worker that waits for its next task would hold it for all others."""
+    worker_store(f"ids {path}", lambda: WordIds(path)).known.clear()

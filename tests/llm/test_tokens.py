@@ -106,3 +106,32 @@ def test_packed_pieces(spark, make_docs):
             at += length
         assert at <= 64
     assert pack_documents(make_docs([]), WORDS).count() == 0
+
+
+def test_known_words_are_looked_up_and_not_gone_over(monkeypatch):
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("all that is known was gone over")
+
+    words = WordIds(WORDS)
+    words.known = Known()
+    texts = ["two words, two.", "two more words and l'été 12 猫"]
+    for text in [*texts, *texts]:
+        expected = Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+        assert words.ids([text]) == [np.array(expected, "<u4").tobytes()]
+
+
+def test_a_worker_forgets_words_after_a_task(monkeypatch):
+    import pyarrow as pa
+
+    from chartloom.llm import packing
+    from chartloom.llm.common import worker_store
+
+    class Context:
+        get = classmethod(lambda cls: cls())
+        partitionId = lambda self: 0
+
+    monkeypatch.setattr(packing, "TaskContext", Context)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["key", "text"])
+    rows = [row for out in packing._pieces(WORDS, "words", 2_048, 0)(iter([batch])) for row in out.to_pylist()]
+    assert len(rows) == 1 and not worker_store(f"ids {WORDS}", dict).known

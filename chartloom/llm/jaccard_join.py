@@ -81,6 +81,7 @@ def _sets(with_sets: bool):
                     ],
                     ["key", "n", "digest", "ref", "tokens"],
                 )
+        give_back()
 
     return run
 
@@ -257,6 +258,7 @@ def _by_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["ref", "shared", "tokens", "counts"],
             )
+    give_back()
 
 
 def _index(percent: int, orders: int):
@@ -282,6 +284,7 @@ def _index(percent: int, orders: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x)) for x in out], ["ord", "token", "ref", "n", "shared", "place"]
                 )
+        give_back()
 
     return run
 
@@ -295,6 +298,7 @@ def _verify(percent: int):
                 linked.append(100 * both >= percent * (len(a) + len(b) - both))
             mask = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+        give_back()
 
     return run
 

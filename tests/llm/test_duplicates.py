@@ -317,3 +317,15 @@ def test_chains_of_a_batch_are_extended_together(monkeypatch):
     found = [tuple(row.values()) for out in _align_rows(50, 0.8)(iter([batch])) for row in out.to_pylist()]
     assert [(row[1], row[2], row[4], row[5]) for row in found] == expected
     assert calls[0] == 100 and len(calls) <= 2
+
+
+def test_tasks_give_their_memory_back(monkeypatch):
+    from chartloom.llm import jaccard_join
+
+    given = []
+    for module in (jaccard_join, substring_dedup):
+        monkeypatch.setattr(module, "give_back", lambda: given.append(1))
+    tasks = [jaccard_join._sets(True), jaccard_join._by_set, jaccard_join._index(80, 3), jaccard_join._verify(80)]
+    tasks += [substring_dedup._as_seeds(8), substring_dedup._slice_rows, substring_dedup._align_rows(50, 0.8)]
+    for n, task in enumerate(tasks, 1):
+        assert list(task(iter([]))) == [] and len(given) == n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from chartloom.samples import LINE_ORDER
 from chartloom.schemas import SEGMENT_FIELD_NUMBERS
 
@@ -105,30 +107,40 @@ def all_segments_sql() -> str:
     return BASE + "\nUNION ALL\n".join(branches)
 
 
-def all_fields_sql() -> str:
-    """Key columns, kind and the md5 sum of the sorted fields of every segment, errors included."""
-
-    def md5_of(fields: list[str]) -> str:
-        return f"md5(array_to_string(list_sort([{', '.join(fields)}]), chr(10))) AS fields_md5"
-
+def _with_fields_sql(shown: Callable[[list[str]], str]) -> str:
+    """Key columns, kind and what is shown of the fields (``name=value``) of every segment, errors included."""
     branches = []
     for segment, variants in _ROWS.items():
         for values, source in variants:
             fields = [f"'{segment}_{n}=' || {value}" for n, value in values.items()]
             branches.append(
-                f"SELECT message_type, message_datetime, patient_id, '{segment}' AS segment_id, {md5_of(fields)} FROM {source}"
+                f"SELECT message_type, message_datetime, patient_id, '{segment}' AS segment_id, {shown(fields)} FROM {source}"
             )
-    custom = md5_of(["'ZZZ_1=custom'", "'ZZZ_2=' || okey"])
+    custom = shown(["'ZZZ_1=custom'", "'ZZZ_2=' || okey"])
     branches.append(
         f"SELECT message_type, message_datetime, patient_id, 'ZZZ', {custom} FROM good WHERE o_orderkey % 79 = 0"
     )
-    fault = md5_of([f"'error=' || {_ERROR_TEXT}"])
+    fault = shown([f"'error=' || {_ERROR_TEXT}"])
     branches.append(
         f"SELECT 'ERROR', NULL, NULL, 'ERROR', {fault} FROM every_order WHERE o_orderkey % 97 = 0 OR o_orderkey % 101 = 0"
     )
     return BASE + "\nUNION ALL\n".join(branches)
 
 
+def _sorted_text(fields: list[str]) -> str:
+    return f"array_to_string(list_sort([{', '.join(fields)}]), chr(10))"
+
+
+def all_fields_sql() -> str:
+    """Of every segment the md5 sum of its sorted fields."""
+    return _with_fields_sql(lambda fields: f"md5({_sorted_text(fields)}) AS fields_md5")
+
+
+def gold_all_sql() -> str:
+    """Of every segment its sorted fields and their number."""
+    return _with_fields_sql(lambda fields: f"{len(fields)} AS filled_fields, {_sorted_text(fields)} AS fields")
+
+
 def segment_counts_sql() -> str:
     return (
         f"SELECT segment_id, count(*) AS n_rows, sum(filled_fields)::BIGINT AS filled_fields "

@@ -168,3 +168,28 @@ def test_names_of_usual_fields_are_not_made_for_each_line(spark):
     raw = spark.createDataFrame([(HEAD,)], "value string")
     plan = msg.parse_messages(raw)._jdf.queryExecution().optimizedPlan().toString()
     assert "map_from_arrays" in plan and "OBX_16" in plan
+
+
+def test_the_table_of_all_segments_has_the_values_of_their_fields(spark, tmp_path):
+    from chartloom.catalog.queries import all_queries
+
+    tables = {
+        "part": ([(2, "bolt", "LARGE")], "p_partkey long, p_name string, p_type string"),
+        "customer": ([(7, "Ann", "AUTO")], "c_custkey long, c_name string, c_mktsegment string"),
+        "orders": (
+            [(3, 7, "O", "1996-01-02", "HIGH"), (89, 7, "F", "1996-01-03", None), (97, 7, "F", "1996-01-03", "LOW")],
+            "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string, o_orderpriority string",
+        ),
+        "lineitem": ([(3, 2, 1, 5.0, "R")], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string"),
+    }
+    for name, (data, schema) in tables.items():
+        table = spark.createDataFrame(data, schema)
+        if name == "lineitem":
+            table = table.selectExpr("*", "1L l_suppkey", "1D l_extendedprice", "0D l_discount", "0D l_tax", "'O' l_linestatus", "'1996-02-01' l_shipdate")
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.message_datetime, r.segment_id): r for r in all_queries()["gold_all"](spark, str(tmp_path)).collect()}
+    first, second = "19960102000000", "19960103000000"
+    assert got[first, "OBX"].fields == "OBX_1=1\nOBX_2=NM\nOBX_3=2\nOBX_5=5" and got[first, "OBX"].filled_fields == 4
+    assert got[first, "AL1"].fields == "AL1_1=1\nAL1_2=DA\nAL1_3=bolt"
+    assert got[second, "PID"].fields == "PID_11=b\nPID_1=1\nPID_3=7\nPID_5=Ann"
+    assert got[None, "ERROR"].fields == "error=message does not start with a header segment"

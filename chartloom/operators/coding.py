@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from chartloom.operators.similarity import topk_similar
-from chartloom.sinks.tables import lookup_folder
+from chartloom.session import scratch_folder
+from chartloom.sinks.tables import lookup_folder, overwrite_folder
 
 ALLERGY_TEXT = "AL1_3"
+#: Ranked definitions that may go to all tasks.
+MOST_BROADCAST = 65_536
 
 
 def store_allergies(allergies: DataFrame, path: str) -> DataFrame:
@@ -55,9 +58,12 @@ def code_allergies(
 ) -> DataFrame:
     """Ranked definition chunks for every allergy of every patient.
 
-    Each description is embedded and matched once, however many patients have it.
+    Each description is embedded and matched once, however many patients have it. The rows of the patients never
+    pass the driver: stored, they take so few bytes that Spark would broadcast many millions of them.
     """
-    matches = code_descriptions(distinct_allergies(allergies), index, embed, k)
+    found = code_descriptions(distinct_allergies(allergies), index, embed, k)
+    matches = overwrite_folder(found, scratch_folder(found.sparkSession, "matches"))
+    matches = F.broadcast(matches) if matches.count() <= MOST_BROADCAST else matches.hint("merge")
     rows = allergies.select("patient_id", ALLERGY_TEXT).distinct()
     return rows.join(matches, ALLERGY_TEXT).select(
         "patient_id", ALLERGY_TEXT, "rank", "chunk_id", "score"

@@ -329,3 +329,27 @@ def test_tasks_give_their_memory_back(monkeypatch):
     tasks += [substring_dedup._as_seeds(8), substring_dedup._slice_rows, substring_dedup._align_rows(50, 0.8)]
     for n, task in enumerate(tasks, 1):
         assert list(task(iter([]))) == [] and len(given) == n
+
+
+@pytest.mark.parametrize("held", [2, 90])
+def test_a_passage_whose_seeds_have_other_first_holders(make_docs, monkeypatch, held):
+    """Every few words of a passage stand in a document of their own before two fuzzy copies of it come: the copies
+    share no seed's first holder and no 50 words. With many holders of a part, these are compared in blocks."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 40, raising=False)
+    r = random.Random(9)
+    passage = prose(63, r).split()
+    rows = []
+    for at in range(0, 63, 7):
+        for n in range(held if at == 14 else 2):
+            rows.append((len(rows), f"{prose(20, r)} {' '.join(passage[max(0, at - 4) : at + 9])} {prose(20, r)}"))
+    copies = []
+    for changed in (3, 20, 41):
+        words = list(passage)
+        for at in (changed, changed + 9, changed + 18):
+            words[at] = prose(1, r) + "x"
+        copies.append((1_000 + changed, f"{prose(30, r)} {' '.join(words)} {prose(30, r)}"))
+    got = repeated_passages(make_docs(rows + copies)).collect()
+    assert {(x.doc_id, x.first_doc_id) for x in got} >= {(1_020, 1_003), (1_041, 1_003)}
+    assert {x.doc_id for x in got} == {1_020, 1_041}
+    assert all(x.identity >= 0.8 and x.end_word - x.start_word >= 50 for x in got)
+    assert all(x.start_word <= 33 and x.end_word >= 90 for x in got if x.first_doc_id == 1_003)
